@@ -11,7 +11,10 @@ Copies are folded into one class before banding, buckets are joined up by a
 number of links in proportion to their size, and each document first confirms
 its most similar candidates only. A second pass then takes every pair of one
 bucket that the first left in different components, so no link that joins
-components is lost however large the group.
+components is lost however large the group. There, a shingle that only one
+member has can't be in an intersection: where x has c common shingles of n and
+the bucket's smallest set has m, no similarity of x exceeds c / (n + m - c), which
+settles most of a large family's outliers without comparing them to anyone.
 
 Defined cases: null, empty and wordless texts have no shingles and are linked
 with nothing; under five words the whole sequence is the one shingle; an empty
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattice.llm.bytesops import mix, shingles, slices
-from lattice.llm.graph import bucket_links, connected_components, open_buckets
+from lattice.llm.graph import bucket_links, bucket_sums, connected_components, large_buckets, open_buckets
 from lattice.llm.scratch import Scratch
 
 SAMPLES, BANDS, BITS, WORDS = 128, 32, 512, 5
@@ -121,6 +124,14 @@ def _confirm(percent: int):
     return run
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, end, data, offsets in slices(batch.column(1)):
+            values, bounds = shingles(data, offsets, WORDS)
+            ids = batch.column(0).slice(first, end - first).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, np.diff(bounds))), pa.array(values.view(np.int64))], ["id", "shingle"])
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough; texts has (id, text)."""
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
@@ -146,7 +157,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     classes = scratch.table("classes", some.groupBy(*key).agg(F.min("doc_id").alias("id")))
     reps = some.join(classes, key).where("doc_id = id").dropDuplicates(["id", *key])
     buckets = scratch.table("buckets", reps.select(F.explode("bands").alias("bucket"), "id"))
-    sketches = scratch.table("sketches", reps.select("id", "sketch"))
+    sketches = scratch.table("sketches", reps.select("id", "sketch", F.col("n_shingles").alias("n")))
+    sums = scratch.table("sums", bucket_sums(buckets))
+    large = scratch.table("large", large_buckets(buckets, sums))
+    scratch.drop("buckets")
     near = " + ".join(f"bit_count(x[{i}] ^ y[{i}])" for i in range(BITS // 64))
     limit = farthest(percent / 100)
 
@@ -155,31 +169,42 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         return with_x.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b").select("a", "b", F.expr(near).alias("far")).where(F.col("far") <= limit)
 
     # first pass: each document's closest candidates
-    linked = scratch.table("candidates", estimated(bucket_links(buckets)))
+    linked = scratch.table("candidates", estimated(bucket_links(sums, large)))
     ends = linked.select("a", "b", "far", F.explode(F.array("a", "b")).alias("end"))
     best = ends.withColumn("k", F.row_number().over(Window.partitionBy("end").orderBy("far", F.xxhash64("a", "b")))).where("k <= 4").select("a", "b").distinct()
-    in_pairs = linked.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = scratch.table("texts", rows.withColumnRenamed("doc_id", "id").join(in_pairs, "id").dropDuplicates(["id", "text"]).select("id", "text"))
+    best = scratch.table("best", best)
+    paired = linked.select(F.explode(F.array("a", "b")).alias("id")).unionByName(large.select("id")).distinct()
+    texts = scratch.table("texts", rows.withColumnRenamed("doc_id", "id").join(paired, "id").dropDuplicates(["id", "text"]).select("id", "text"))
     links = scratch.table("links-1", confirmed(best, texts, percent))
     label = connected_components(links, scratch, "first")
-    # second pass: the remaining candidates across components, then pairs of larger buckets across components
-    names = label.select(F.col("id"), F.col("component"))
-
-    def across(pairs: DataFrame) -> DataFrame:
-        sided = pairs.join(names.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(names.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-        return sided.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
 
-    members = scratch.table("open", open_buckets(buckets, label).join(sketches, "id"))
-    minor = members.where("minor").select("bucket", F.col("id").alias("p"), F.col("component").alias("cp"), F.col("sketch").alias("x"))
-    other = members.select("bucket", F.col("id").alias("q"), F.col("component").alias("cq"), F.col("sketch").alias("y"))
-    wide = minor.join(other, (minor.bucket == other.bucket) & (F.col("cp") != F.col("cq")) & (F.expr(near) <= limit))
+    # second pass: what may still join components
+    members = scratch.table("members", open_buckets(large, label))
+    ids = members.select("id").distinct()
+    alone = texts.join(ids, "id").select("id", "text").mapInArrow(_exploded, "id long, shingle long").groupBy("shingle").agg(F.count("*").alias("k"), F.min("id").alias("id"))
+    common = (
+        ids.join(sketches, "id").join(alone.where("k = 1").groupBy("id").agg(F.count("*").alias("own")), "id", "left")
+        .select("id", "sketch", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("c"))
+    )
+    common = scratch.table("common", common)
+    least = members.join(common.select("id", "n"), "id").groupBy("bucket").agg(F.min("n").alias("m"))
+    known = members.join(common, "id")
+    minor = known.where("minor").join(least, "bucket").where(f"100 * c >= {percent} * (n + m - c)")
+    minor = minor.select(F.col("bucket").alias("k"), F.col("id").alias("p"), F.col("component").alias("cp"), F.col("sketch").alias("x"), F.col("n").alias("np"), F.col("c").alias("sp"))
+    other = known.select("bucket", F.col("id").alias("q"), F.col("component").alias("cq"), F.col("sketch").alias("y"), F.col("n").alias("nq"), F.col("c").alias("sq"))
+    reach = f"100 * least(sp, sq) >= {percent} * (np + nq - least(sp, sq))"
+    wide = minor.join(other, F.expr(f"k = bucket AND cp <> cq AND {reach} AND {near} <= {limit}"))
     wide = wide.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    rest = across(linked.select("a", "b")).unionByName(wide).distinct().join(best, ["a", "b"], "left_anti")
-    more_texts = rows.withColumnRenamed("doc_id", "id")
-    rest = scratch.table("rest", rest)
-    links = scratch.table("links-2", confirmed(rest, more_texts, percent)).unionByName(links)
+
+    sides = linked.select("a", "b").join(best, ["a", "b"], "left_anti")
+    for end, mark in (("a", "p"), ("b", "q")):
+        sides = sides.join(label.select(F.col("id").alias(end), F.col("component").alias(f"c{mark}")), end, "left")
+        sides = sides.join(common.select(F.col("id").alias(end), F.col("n").alias(f"n{mark}"), F.col("c").alias(f"s{mark}")), end, "left")
+    sides = sides.where(f"coalesce(cp, a) <> coalesce(cq, b) AND coalesce({reach}, true)").select("a", "b")
+    rest = scratch.table("rest", sides.unionByName(wide).distinct().join(best, ["a", "b"], "left_anti"))
+    links = scratch.table("links-2", confirmed(rest, texts, percent)).unionByName(links)
     label = connected_components(links, scratch, "final")
-    scratch.drop("buckets", "candidates", "open", "texts", "sketches")
+    scratch.drop("large", "sums", "candidates", "members", "texts", "sketches", "common")
 
     named = classes.join(label, "id", "left").select(*key, F.coalesce("component", "id").alias("component_id"))
     joined = signed.select("doc_id", *key).join(named, key, "left")

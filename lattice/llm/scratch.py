@@ -20,7 +20,8 @@ def shared_root(spark: SparkSession) -> str:
     """The URI under which intermediate tables may be written."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
-        return root.rstrip("/")
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     made = tempfile.mkdtemp(prefix="lattice-")
     atexit.register(shutil.rmtree, made, True)
     spark.conf.set("spark.checkpoint.dir", f"file://{made}")
