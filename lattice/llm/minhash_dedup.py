@@ -14,7 +14,9 @@ bucket that the first left in different components, so no link that joins
 components is lost however large the group. There, a shingle that only one
 member has can't be in an intersection: where x has c common shingles of n and
 the bucket's smallest set has m, no similarity of x exceeds c / (n + m - c), which
-settles most of a large family's outliers without comparing them to anyone.
+settles most of a large family's outliers without comparing them to anyone. The
+pairs left are held against odd sketches of the whole sets, which count their
+difference almost exactly while it is small.
 
 Defined cases: null, empty and wordless texts have no shingles and are linked
 with nothing; under five words the whole sequence is the one shingle; an empty
@@ -38,6 +40,8 @@ from lattice.llm.graph import bucket_links, bucket_sums, connected_components, l
 from lattice.llm.scratch import Scratch
 
 SAMPLES, BANDS, BITS, WORDS = 128, 32, 512, 5
+#: Bits of the odd sketch of a whole set, which the last pass reads.
+WHOLE = 1024
 _random = np.random.default_rng(3)
 _A = _random.integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _random.integers(0, 2**63, SAMPLES, dtype=np.uint64)
@@ -74,8 +78,26 @@ def odd_sketches(sample: np.ndarray) -> np.ndarray:
     return np.packbits((count & 1).astype(np.uint8).reshape(len(sample), BITS), axis=1).view(np.int64)
 
 
+def whole_sketches(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Parity bitmaps of all values of each non-empty set."""
+    size = np.diff(bounds)
+    size = size[size > 0]
+    bit = (mix(values ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(WHOLE)).astype(np.int64)
+    count = np.bincount(np.repeat(np.arange(len(size)) * WHOLE, size) + bit, minlength=len(size) * WHOLE)
+    return np.packbits((count & 1).astype(np.uint8).reshape(len(size), WHOLE), axis=1).view(np.int64)
+
+
+def within_reach(percent: int) -> str:
+    """SQL: the whole-set sketches u, v of sets of np and nq shingles allow a similarity of ``percent``, to 6 standard deviations."""
+    pop = " + ".join(f"bit_count(u[{i}] ^ v[{i}])" for i in range(WHOLE // 64))
+    most = f"((np + nq) * {(100 - percent) / (100 + percent)!r}D)"
+    one, two = f"pow({1 - 2 / WHOLE!r}D, {most})", f"pow({1 - 4 / WHOLE!r}D, {most})"
+    mean = f"({WHOLE / 2}D * (1 - {one}))"
+    return f"{pop} <= {mean} + 1 + 6 * sqrt(greatest(0D, {mean} + {WHOLE * (WHOLE - 1) / 4}D * (1 - 2 * {one} + {two}) - {mean} * {mean}))"
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"]
+    names = ["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch", "whole"]
     for batch in batches:
         for first, end, data, offsets in slices(batch.column(1)):
             values, bounds = shingles(data, offsets, WORDS)
@@ -97,7 +119,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some)]) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
 
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, end - first), pa.array(size), pa.array(whole[0].view(np.int64)), pa.array(whole[1].view(np.int64)), lists(bands), lists(sketch)], names
+                [batch.column(0).slice(first, end - first), pa.array(size), pa.array(whole[0].view(np.int64)), pa.array(whole[1].view(np.int64)), lists(bands), lists(sketch), lists(whole_sketches(values, bounds))], names
             )
 
 
@@ -140,6 +162,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long")
 
 
+def _star(label: DataFrame) -> DataFrame:
+    return label.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each of ``docs`` (doc_id, text).
 
@@ -148,7 +174,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = rows.mapInArrow(_signatures, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>")
+    signed = rows.mapInArrow(_signatures, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>, whole array<long>")
     signed = scratch.table("signed", signed)
 
     # one class for each distinct set, named by its least doc_id
@@ -157,7 +183,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     classes = scratch.table("classes", some.groupBy(*key).agg(F.min("doc_id").alias("id")))
     reps = some.join(classes, key).where("doc_id = id").dropDuplicates(["id", *key])
     buckets = scratch.table("buckets", reps.select(F.explode("bands").alias("bucket"), "id"))
-    sketches = scratch.table("sketches", reps.select("id", "sketch", F.col("n_shingles").alias("n")))
+    sketches = scratch.table("sketches", reps.select("id", "sketch", "whole", F.col("n_shingles").alias("n")))
     sums = scratch.table("sums", bucket_sums(buckets))
     large = scratch.table("large", large_buckets(buckets, sums))
     scratch.drop("buckets")
@@ -178,31 +204,40 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     links = scratch.table("links-1", confirmed(best, texts, percent))
     label = connected_components(links, scratch, "first")
 
-    # second pass: what may still join components
+    # second pass: every id outside its bucket's main component against the bucket's most typical member
     members = scratch.table("members", open_buckets(large, label))
     ids = members.select("id").distinct()
     alone = texts.join(ids, "id").select("id", "text").mapInArrow(_exploded, "id long, shingle long").groupBy("shingle").agg(F.count("*").alias("k"), F.min("id").alias("id"))
     common = (
         ids.join(sketches, "id").join(alone.where("k = 1").groupBy("id").agg(F.count("*").alias("own")), "id", "left")
-        .select("id", "sketch", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("c"))
+        .select("id", "sketch", "whole", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("c"))
     )
     common = scratch.table("common", common)
-    least = members.join(common.select("id", "n"), "id").groupBy("bucket").agg(F.min("n").alias("m"))
     known = members.join(common, "id")
+    typical = known.groupBy("bucket").agg(F.min("n").alias("m"), F.min_by(F.struct("id", "component"), F.struct(F.col("n") - F.col("c"), "id")).alias("hub"))
+    minor = known.where("minor").join(typical, "bucket").where(f"100 * c >= {percent} * (n + m - c) AND component <> hub.component")
+    to_hub = scratch.table("to-hub", minor.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct().join(best, ["a", "b"], "left_anti"))
+    links = scratch.table("links-2", confirmed(to_hub, texts, percent)).unionByName(_star(label))
+    label = connected_components(links, scratch, "second")
+
+    # third pass: all that may still join components
+    known = open_buckets(members, label).join(common, "id")
+    least = known.groupBy("bucket").agg(F.min("n").alias("m"))
     minor = known.where("minor").join(least, "bucket").where(f"100 * c >= {percent} * (n + m - c)")
-    minor = minor.select(F.col("bucket").alias("k"), F.col("id").alias("p"), F.col("component").alias("cp"), F.col("sketch").alias("x"), F.col("n").alias("np"), F.col("c").alias("sp"))
-    other = known.select("bucket", F.col("id").alias("q"), F.col("component").alias("cq"), F.col("sketch").alias("y"), F.col("n").alias("nq"), F.col("c").alias("sq"))
+    minor = minor.select(F.col("bucket").alias("k"), F.col("id").alias("p"), F.col("component").alias("cp"), F.col("sketch").alias("x"), F.col("whole").alias("u"), F.col("n").alias("np"), F.col("c").alias("sp"))
+    other = known.select("bucket", F.col("id").alias("q"), F.col("component").alias("cq"), F.col("sketch").alias("y"), F.col("whole").alias("v"), F.col("n").alias("nq"), F.col("c").alias("sq"))
     reach = f"100 * least(sp, sq) >= {percent} * (np + nq - least(sp, sq))"
-    wide = minor.join(other, F.expr(f"k = bucket AND cp <> cq AND {reach} AND {near} <= {limit}"))
+    wide = minor.join(other, F.expr(f"k = bucket AND cp <> cq AND {reach} AND {near} <= {limit} AND {within_reach(percent)}"))
     wide = wide.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
-    sides = linked.select("a", "b").join(best, ["a", "b"], "left_anti")
-    for end, mark in (("a", "p"), ("b", "q")):
+    sides = linked.select("a", "b")
+    for end, mark, bits in (("a", "p", "u"), ("b", "q", "v")):
         sides = sides.join(label.select(F.col("id").alias(end), F.col("component").alias(f"c{mark}")), end, "left")
-        sides = sides.join(common.select(F.col("id").alias(end), F.col("n").alias(f"n{mark}"), F.col("c").alias(f"s{mark}")), end, "left")
-    sides = sides.where(f"coalesce(cp, a) <> coalesce(cq, b) AND coalesce({reach}, true)").select("a", "b")
-    rest = scratch.table("rest", sides.unionByName(wide).distinct().join(best, ["a", "b"], "left_anti"))
-    links = scratch.table("links-2", confirmed(rest, texts, percent)).unionByName(links)
+        sides = sides.join(common.select(F.col("id").alias(end), F.col("n").alias(f"n{mark}"), F.col("c").alias(f"s{mark}"), F.col("whole").alias(bits)), end, "left")
+    sides = sides.where(f"coalesce(cp, a) <> coalesce(cq, b) AND coalesce({reach} AND {within_reach(percent)}, true)").select("a", "b")
+    rest = sides.unionByName(wide).distinct().join(best.unionByName(to_hub), ["a", "b"], "left_anti")
+    rest = scratch.table("rest", rest)
+    links = scratch.table("links-3", confirmed(rest, texts, percent)).unionByName(_star(label))
     label = connected_components(links, scratch, "final")
     scratch.drop("large", "sums", "candidates", "members", "texts", "sketches", "common")
 
