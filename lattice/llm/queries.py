@@ -29,6 +29,18 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=75)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattice.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=75)
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattice.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents"), similarity=0.9).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattice.llm.token_files import token_file_digests
 
@@ -39,9 +51,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
+        "op8_decontamination": op8_decontamination,
+        "op10_line_dedup": op10_line_dedup,
         "op9_token_files": op9_token_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from lattice.llm import decontaminate
+
+    return {"op8_decontamination": decontaminate.ORACLE}
