@@ -29,6 +29,12 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=75)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattice.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattice.llm.decontaminate import contaminated
 
@@ -51,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
+        "op6_toxicity": op6_toxicity,
         "op8_decontamination": op8_decontamination,
         "op10_line_dedup": op10_line_dedup,
         "op9_token_files": op9_token_files,
