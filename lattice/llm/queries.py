@@ -29,12 +29,24 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=75)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattice.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattice.llm.toxicity import toxicity_scores
 
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattice.llm.flac import media_digests
+
+    return media_digests(table(spark, sf_dir, "documents")).drop("media")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattice.llm.decontaminate import contaminated
 
@@ -53,14 +65,23 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
+        "op4_html_extraction": op4_html_extraction,
         "op6_toxicity": op6_toxicity,
+        "op7_flac": op7_flac,
         "op8_decontamination": op8_decontamination,
         "op10_line_dedup": op10_line_dedup,
         "op9_token_files": op9_token_files,
+        "pipeline": pipeline,
     }
 
 
