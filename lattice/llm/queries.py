@@ -35,6 +35,12 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattice.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattice.llm.toxicity import toxicity_scores
 
@@ -76,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op4_html_extraction": op4_html_extraction,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_toxicity": op6_toxicity,
         "op7_flac": op7_flac,
         "op8_decontamination": op8_decontamination,
