@@ -12,31 +12,28 @@ from pyspark.sql import functions as F
 from lattice.llm.scratch import Scratch
 
 
-def bucket_sums(buckets: DataFrame) -> DataFrame:
-    """Size, least and greatest id and XOR of the ids of each bucket with several ids, combined before the shuffle."""
-    return buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.expr("bit_xor(id)").alias("x")).where("n > 1")
+def shared_buckets(buckets: DataFrame) -> DataFrame:
+    """Rows (bucket, id, n, lo, hi, x) of the buckets of several ids, by one shuffle: size, least and greatest id, XOR of the ids."""
+    dealt = buckets.repartition("bucket")
+    sums = dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.expr("bit_xor(id)").alias("x")).where("n > 1")
+    return dealt.join(sums.hint("shuffle_hash"), "bucket")
 
 
-def large_buckets(buckets: DataFrame, sums: DataFrame) -> DataFrame:
-    """Members (bucket, id, lo, hi) of the buckets of over three ids."""
-    return buckets.join(sums.where("n > 3").select("bucket", "lo", "hi"), "bucket")
-
-
-def bucket_links(sums: DataFrame, large: DataFrame, salts: int = 32) -> DataFrame:
-    """Links (a, b), a < b, that join up each bucket of distinct (bucket, id): long columns.
+def bucket_links(shared: DataFrame, salts: int = 32) -> DataFrame:
+    """Links (a, b), a < b, that join up each of the ``shared_buckets`` of distinct (bucket, id): long columns.
 
     Buckets of two or three ids give all their pairs, straight from the sums.
     Larger ones give every id's pairs with the bucket's least and greatest id
     and with its neighbour in hashed order within one of ``salts`` parts, so a
     hot bucket is spread over tasks.
     """
-    small = sums.where("n <= 3").select(
+    small = shared.where("n <= 3 AND id = lo").select(
         F.inline(F.expr("""CASE WHEN n = 2 THEN array(struct(lo AS a, hi AS b))
             ELSE array(struct(lo AS a, hi AS b), struct(lo AS a, x ^ lo ^ hi AS b), struct(x ^ lo ^ hi AS a, hi AS b)) END"""))
     )
     order = Window.partitionBy("bucket", "part").orderBy(F.xxhash64("id", "bucket"), "id")
     near = (
-        large.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(salts)))
+        shared.where("n > 3").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(salts)))
         .withColumn("near", F.lag("id").over(order))
         .select(F.explode(F.array("lo", "hi", "near")).alias("other"), "id")
         .where("other IS NOT NULL AND other <> id")
@@ -45,13 +42,13 @@ def bucket_links(sums: DataFrame, large: DataFrame, salts: int = 32) -> DataFram
     return small.unionByName(near).where("a < b").distinct()
 
 
-def open_buckets(large: DataFrame, label: DataFrame) -> DataFrame:
-    """Members (bucket, id, component, minor) of the large buckets that still hold several components.
+def open_buckets(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """Members (bucket, id, component, minor) of the buckets of over three ids that still hold several components.
 
     ``minor`` marks ids outside the bucket's largest component: any link still
     missing has one of them at one end at least.
     """
-    members = large.select("bucket", "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    members = shared.where("n > 3").select("bucket", "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     counted = members.groupBy("bucket", "component").agg(F.count("*").alias("c"))
     main = counted.groupBy("bucket").agg(F.count("*").alias("k"), F.expr("max_by(component, c)").alias("main")).where("k > 1")
     return members.join(main.select("bucket", "main"), "bucket").select("bucket", "id", "component", (F.col("component") != F.col("main")).alias("minor"))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattice.llm.bytesops import mix, shingles, slices
-from lattice.llm.graph import bucket_links, bucket_sums, connected_components, large_buckets, open_buckets
+from lattice.llm.graph import bucket_links, connected_components, open_buckets, shared_buckets
 from lattice.llm.scratch import Scratch
 
 SAMPLES, BANDS, BITS, WORDS = 128, 32, 512, 5
@@ -182,11 +182,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = scratch.table("classes", some.groupBy(*key).agg(F.min("doc_id").alias("id")))
     reps = some.join(classes, key).where("doc_id = id").dropDuplicates(["id", *key])
-    buckets = scratch.table("buckets", reps.select(F.explode("bands").alias("bucket"), "id"))
+    shared = scratch.table("shared", shared_buckets(reps.select(F.explode("bands").alias("bucket"), "id")))
     sketches = scratch.table("sketches", reps.select("id", "sketch", "whole", F.col("n_shingles").alias("n")))
-    sums = scratch.table("sums", bucket_sums(buckets))
-    large = scratch.table("large", large_buckets(buckets, sums))
-    scratch.drop("buckets")
+    scratch.drop()
     near = " + ".join(f"bit_count(x[{i}] ^ y[{i}])" for i in range(BITS // 64))
     limit = farthest(percent / 100)
 
@@ -195,17 +193,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         return with_x.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b").select("a", "b", F.expr(near).alias("far")).where(F.col("far") <= limit)
 
     # first pass: each document's closest candidates
-    linked = scratch.table("candidates", estimated(bucket_links(sums, large)))
+    linked = scratch.table("candidates", estimated(bucket_links(shared)))
     ends = linked.select("a", "b", "far", F.explode(F.array("a", "b")).alias("end"))
     best = ends.withColumn("k", F.row_number().over(Window.partitionBy("end").orderBy("far", F.xxhash64("a", "b")))).where("k <= 4").select("a", "b").distinct()
     best = scratch.table("best", best)
-    paired = linked.select(F.explode(F.array("a", "b")).alias("id")).unionByName(large.select("id")).distinct()
+    paired = linked.select(F.explode(F.array("a", "b")).alias("id")).unionByName(shared.where("n > 3").select("id")).distinct()
     texts = scratch.table("texts", rows.withColumnRenamed("doc_id", "id").join(paired, "id").dropDuplicates(["id", "text"]).select("id", "text"))
     links = scratch.table("links-1", confirmed(best, texts, percent))
+    scratch.drop()
     label = connected_components(links, scratch, "first")
 
     # second pass: every id outside its bucket's main component against the bucket's most typical member
-    members = scratch.table("members", open_buckets(large, label))
+    members = scratch.table("members", open_buckets(shared, label))
     ids = members.select("id").distinct()
     alone = texts.join(ids, "id").select("id", "text").mapInArrow(_exploded, "id long, shingle long").groupBy("shingle").agg(F.count("*").alias("k"), F.min("id").alias("id"))
     common = (
@@ -221,7 +220,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     label = connected_components(links, scratch, "second")
 
     # third pass: all that may still join components
-    known = open_buckets(members, label).join(common, "id")
+    known = open_buckets(members.withColumn("n", F.lit(4)), label).join(common, "id")
     least = known.groupBy("bucket").agg(F.min("n").alias("m"))
     minor = known.where("minor").join(least, "bucket").where(f"100 * c >= {percent} * (n + m - c)")
     minor = minor.select(F.col("bucket").alias("k"), F.col("id").alias("p"), F.col("component").alias("cp"), F.col("sketch").alias("x"), F.col("whole").alias("u"), F.col("n").alias("np"), F.col("c").alias("sp"))
@@ -239,7 +238,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     rest = scratch.table("rest", rest)
     links = scratch.table("links-3", confirmed(rest, texts, percent)).unionByName(_star(label))
     label = connected_components(links, scratch, "final")
-    scratch.drop("large", "sums", "candidates", "members", "texts", "sketches", "common")
+    scratch.drop("shared", "candidates", "members", "texts", "sketches", "common")
 
     named = classes.join(label, "id", "left").select(*key, F.coalesce("component", "id").alias("component_id"))
     joined = signed.select("doc_id", *key).join(named, key, "left")
