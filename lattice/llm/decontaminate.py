@@ -10,7 +10,7 @@ at 75 % containment, 32 samples miss both with probability 5e-5. Samples that
 agree name candidates, and these are verified on the exact shingles (as text).
 
 Blocks are aggregated where the documents lie: one shuffle of the texts serves
-all classes. The item side is broadcast only if it has at most
+all classes, and the samples of wider blocks are the least of the narrow ones'. The item side is broadcast only if it has at most
 ``broadcast_items`` rows, counted first; otherwise the join shuffles.
 
 Defined cases: a null or wordless text or item matches nothing; under five
@@ -21,8 +21,6 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,10 +42,14 @@ def _positions(rows: DataFrame, *keys: str) -> DataFrame:
     return at.select(*keys, "i", F.xxhash64(*[F.get("w", F.col("i") + k) for k in range(WORDS)]).alias("h"))
 
 
-def _samples(shingles: DataFrame, *keys: str) -> DataFrame:
-    """Rows (keys, k, v): the k-th MinHash sample of each group."""
-    least = shingles.groupBy(*keys).agg(*[F.min(F.xxhash64("h", F.lit(k))).alias(f"m{k}") for k in range(SAMPLES)])
-    return least.select(*keys, F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"m{k}").alias("v")) for k in range(SAMPLES)])))
+def _least(shingles: DataFrame, *keys: str) -> DataFrame:
+    """(keys, m0, m1, ...): the MinHash samples of each group."""
+    return shingles.groupBy(*keys).agg(*[F.min(F.xxhash64("h", F.lit(k))).alias(f"m{k}") for k in range(SAMPLES)])
+
+
+def _samples(least: DataFrame, *keys: str) -> DataFrame:
+    """(keys, v): the samples as rows. The number of a sample is part of its hash, so equal values are equal samples."""
+    return least.select(*keys, F.explode(F.array(*[F.col(f"m{k}") for k in range(SAMPLES)])).alias("v"))
 
 
 def _shingle_texts() -> Column:
@@ -61,19 +63,21 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 75, broadcast
     sizes = _positions(tests, "item_id").groupBy("item_id").agg(F.countDistinct("h").alias("q"))
     sized = F.greatest(F.lit(LEAST), F.pow(F.lit(2), F.ceil(F.log2("q"))).cast("int"))
     sizes = scratch.table("sizes", sizes.select("item_id", sized.alias("class")))
-    wanted = scratch.table("wanted", _samples(_positions(tests, "item_id").join(sizes, "item_id"), "class", "item_id"))
+    wanted = _samples(
+        _least(_positions(tests, "item_id").join(sizes, "item_id"), "class", "item_id"), "class", "item_id"
+    )
+    wanted = scratch.table("wanted", wanted.withColumnRenamed("class", "of"))
     small = wanted.count() <= broadcast_items * SAMPLES
 
     words = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     words = words.repartition("doc_id").select("doc_id", split_words(F.col("text")).alias("w")).where("w IS NOT NULL")
-    shingles = _positions(words, "doc_id")
-    found = []
-    for x in sizes.select("class").distinct().collect():  # one row for each power of two, 64 at most
-        blocks = shingles.withColumn("block", F.floor(F.col("i") / x["class"]).cast("int"))
-        of_class = wanted.where(F.col("class") == x["class"]).select("k", "v", "item_id")
-        found.append(_samples(blocks, "doc_id", "block").join(F.broadcast(of_class) if small else of_class, ["k", "v"]).select("doc_id", "item_id").distinct())
-    empty = docs.sparkSession.createDataFrame([], "doc_id long, item_id long")
-    candidates = scratch.table("candidates", reduce(DataFrame.unionByName, found, empty).distinct())
+    classes = sorted(x["class"] for x in sizes.select("class").distinct().collect()) or [LEAST]  # powers of two, 64 at most
+    fine = _least(_positions(words, "doc_id").withColumn("block", F.expr(f"i div {classes[0]}")), "doc_id", "block")
+    wider = [F.struct(F.lit(c).alias("class"), F.expr(f"block div {c // classes[0]}").alias("part")) for c in classes]
+    spread = fine.withColumn("in", F.explode(F.array(*wider))).withColumns({"class": F.col("in.class"), "part": F.col("in.part")})
+    blocks = spread.groupBy("doc_id", "class", "part").agg(*[F.min(f"m{k}").alias(f"m{k}") for k in range(SAMPLES)])
+    found = _samples(blocks, "doc_id", "class").join(F.broadcast(wanted) if small else wanted, "v").where(F.col("class") == F.col("of"))
+    candidates = scratch.table("candidates", found.select("doc_id", "item_id").distinct())
 
     suspects = words.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", _shingle_texts().alias("held"))
     needed = tests.select("item_id", _shingle_texts().alias("asked"))
