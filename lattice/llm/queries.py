@@ -20,7 +20,7 @@ def tokenizer(name: str) -> str:
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattice.llm.substring_dedup import passages
 
-    return passages(table(spark, sf_dir, "documents"), min_words=30, identity=0.8)
+    return passages(table(spark, sf_dir, "documents"), min_words=40, identity=0.8)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
