@@ -375,7 +375,7 @@ def _decode_step(reader: _Reader, live: np.ndarray, out: np.ndarray, row: np.nda
         found[t, some] = reader.signed(rows[some], BITS)
     coefs, shift = np.zeros((most, len(rows)), np.int32), np.zeros(len(rows), np.int32)
     for k, row_ in enumerate(([], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1])):
-        for j, value in enumerate(row_):
+        for j, value in enumerate(row_[:most]):
             coefs[j, kind == 8 + k] = value
     some = np.flatnonzero(linear)
     if len(some):
