@@ -219,14 +219,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     links = scratch.table("links-2", confirmed(to_hub, texts, percent)).unionByName(_star(label))
     label = connected_components(links, scratch, "second")
 
-    # third pass: all that may still join components
-    known = open_buckets(members.withColumn("n", F.lit(4)), label).join(common, "id")
+    # third pass: all that may still join components, each pair in the first bucket that it shares
+    opened = scratch.table("opened", open_buckets(members.withColumn("n", F.lit(4)), label))
+    own = opened.groupBy("id").agg(F.sort_array(F.collect_set("bucket")).alias("own"))  # at most BANDS
+    known = opened.join(common.join(own, "id"), "id")
     least = known.groupBy("bucket").agg(F.min("n").alias("m"))
     minor = known.where("minor").join(least, "bucket").where(f"100 * c >= {percent} * (n + m - c)")
-    minor = minor.select(F.col("bucket").alias("k"), F.col("id").alias("p"), F.col("component").alias("cp"), F.col("sketch").alias("x"), F.col("whole").alias("u"), F.col("n").alias("np"), F.col("c").alias("sp"))
-    other = known.select("bucket", F.col("id").alias("q"), F.col("component").alias("cq"), F.col("sketch").alias("y"), F.col("whole").alias("v"), F.col("n").alias("nq"), F.col("c").alias("sq"))
+    minor = minor.select(F.col("bucket").alias("k"), F.col("id").alias("p"), F.col("component").alias("cp"), F.col("sketch").alias("x"), F.col("whole").alias("u"), F.col("n").alias("np"), F.col("c").alias("sp"), F.col("own").alias("kp"))
+    other = known.select("bucket", F.col("minor").alias("also"), F.col("id").alias("q"), F.col("component").alias("cq"), F.col("sketch").alias("y"), F.col("whole").alias("v"), F.col("n").alias("nq"), F.col("c").alias("sq"), F.col("own").alias("kq"))
     reach = f"100 * least(sp, sq) >= {percent} * (np + nq - least(sp, sq))"
-    wide = minor.join(other, F.expr(f"k = bucket AND cp <> cq AND {reach} AND {near} <= {limit} AND {within_reach(percent)}"))
+    wide = minor.join(other, F.expr(f"k = bucket AND cp <> cq AND (p < q OR NOT also) AND {reach} AND {near} <= {limit} AND {within_reach(percent)} AND k = array_intersect(kp, kq)[0]"))
     wide = wide.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
     sides = linked.select("a", "b")
@@ -238,7 +240,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     rest = scratch.table("rest", rest)
     links = scratch.table("links-3", confirmed(rest, texts, percent)).unionByName(_star(label))
     label = connected_components(links, scratch, "final")
-    scratch.drop("shared", "candidates", "members", "texts", "sketches", "common")
+    scratch.drop("shared", "candidates", "members", "opened", "texts", "sketches", "common")
 
     named = classes.join(label, "id", "left").select(*key, F.coalesce("component", "id").alias("component_id"))
     joined = signed.select("doc_id", *key).join(named, key, "left")
