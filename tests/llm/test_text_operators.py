@@ -146,6 +146,22 @@ def test_an_edited_passage_is_found_and_prose_is_not(spark):
     assert (one.from_word, one.to_word, one.partner_from, one.partner_to, one.matches) == (90, 170, 10, 88, 77)
 
 
+def test_edited_passages_of_forty_to_sixty_words_are_found(spark):
+    rng = random.Random(11)
+    texts, want = [], {}
+    for k in range(60):
+        passage = prose(rng, rng.randrange(40, 61))
+        every = 5 + k % 6  # one word of 5 to 10: 80 to 90 %
+        edited = [f"new{k}x{i}" if i % every == every - 1 else w for i, w in enumerate(passage)]
+        pad = rng.randrange(5, 40)
+        want[2 * k] = (pad, pad + len(passage) - (len(passage) % every == 0), 2 * k + 1)
+        texts += [prose(rng, pad) + passage + prose(rng, 30), prose(rng, 20) + edited + prose(rng, 20)]
+    found = passages(documents(spark, *[" ".join(t) for t in texts])).collect()
+    for i, (start, end, partner) in want.items():
+        held = [set(range(r.from_word, r.to_word)) for r in found if (r.doc_id, r.partner_id) == (i, partner)]
+        assert len(set().union(*held) & set(range(start, end))) >= 0.9 * (end - start), i
+
+
 def test_passages_of_awkward_rows(spark):
     found = passages(awkward(spark)).collect()
     assert {(r.doc_id, r.partner_id, r.from_word, r.to_word) for r in found} == {(6, 7, 0, 6000), (7, 6, 0, 6000)}
