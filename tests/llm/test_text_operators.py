@@ -162,6 +162,16 @@ def test_edited_passages_of_forty_to_sixty_words_are_found(spark):
         assert len(set().union(*held) & set(range(start, end))) >= 0.9 * (end - start), i
 
 
+def test_a_passage_whose_seeds_have_other_extreme_documents(spark):
+    rng = random.Random(12)
+    run = prose(rng, 50)
+    texts = [prose(rng, 60) for _ in range(11)]
+    for i, part in ((5, run), (6, run), (1, run[:25]), (9, run[:25]), (2, run[25:]), (10, run[25:])):
+        texts[i] = texts[i][:30] + part + texts[i][30:]
+    found = passages(documents(spark, *[" ".join(t) for t in texts])).collect()
+    assert {(r.doc_id, r.partner_id, r.from_word, r.to_word) for r in found} == {(5, 6, 30, 80), (6, 5, 30, 80)}
+
+
 def test_passages_of_awkward_rows(spark):
     found = passages(awkward(spark)).collect()
     assert {(r.doc_id, r.partner_id, r.from_word, r.to_word) for r in found} == {(6, 7, 0, 6000), (7, 6, 0, 6000)}
