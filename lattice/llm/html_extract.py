@@ -14,7 +14,9 @@ bound is the model's only sample; extraction covers whole pages.
 
 Defined cases: null or empty html gives an empty text; text outside any tag is a
 block of its own; open or stray tags are closed as browsers do for paragraphs,
-list items and cells, and else ignored; an unclosed script runs to the end; rows
+list items and cells, and else ignored; an unclosed script or style runs to the
+end, a head ends before the first thing that no head may hold, a self-closed svg
+is empty, and other hidden elements without an end tag hide nothing; rows
 with equal ``page_id`` are extracted each by its own html; an empty table gives
 no rows; other columns are ignored.
 """
@@ -35,10 +37,19 @@ from pyspark.sql import functions as F
 TRAINING_PAGES = 400
 
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|head)\b(?:[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"""
+    r"""<!--.*?(?:-->|\Z)|<(script|style)\b(?:[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"""
     r"""|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|([^<]+|<)""",
     re.S | re.I,
 )
+#: What a head may hold; anything else ends it, whether or not it has an end tag.
+_HEAD = re.compile(
+    r"""\s++|<!--.*?-->|<(script|style|title|noscript|template)\b(?:[^>"']|"[^"]*"|'[^']*')*+>.*?</\1\s*>"""
+    r"""|<(?:meta|link|base|basefont|bgsound)\b(?:[^>"']|"[^"]*"|'[^']*')*+>""",
+    re.S | re.I,
+)
+_HEAD_END = re.compile(r"</head\s*>", re.I)
+#: Elements without text of their own to show: left out up to their end tag, if there is one.
+_HIDDEN = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("noscript", "template", "svg", "iframe")}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[A-Za-z]+")
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td textarea tfoot th thead tr ul".split())
@@ -51,6 +62,35 @@ _ENDS = {
 _P = ({"p"}, {"td", "th", "li", "div", "section", "article", "body", "button"})
 
 
+def _tokens(page: str) -> Iterator[tuple[str, str, str, str, str]]:
+    """The groups of ``_TOKEN``, in order; heads and hidden elements count as one skipped element."""
+    skipped = ("head", "", "", "", "")
+    last: dict[str, int] = {}
+    at = 0
+    while at < len(page):
+        found = _TOKEN.match(page, at)
+        if not found:
+            at += 1
+            continue
+        at = found.end()
+        raw, end, tag, attributes, text = (x or "" for x in found.groups())
+        name = "" if end else tag.lower()
+        if name == "head":
+            while held := _HEAD.match(page, at):
+                at = held.end()
+            closed = _HEAD_END.match(page, at)
+            at = closed.end() if closed else at
+            yield skipped
+        elif name in _HIDDEN:
+            if name not in last:
+                last[name] = max((x.start() for x in _HIDDEN[name].finditer(page)), default=-1)
+            if not (name == "svg" and attributes.endswith("/")) and at <= last[name]:
+                at = _HIDDEN[name].search(page, at).end()
+            yield skipped
+        else:
+            yield raw, end, tag, attributes, text
+
+
 def leaf_blocks(page: str) -> list[tuple[str, list[tuple[str, tuple[str, ...]]], int, int]]:
     """(text, ancestors as (tag, names in its class, id and role), characters, characters in links) of each leaf block."""
     out: list = []
@@ -77,7 +117,7 @@ def leaf_blocks(page: str) -> list[tuple[str, list[tuple[str, tuple[str, ...]]],
             if stack[i][0] in within:
                 return
 
-    for raw, end, tag, attributes, text in _TOKEN.findall(page):
+    for raw, end, tag, attributes, text in _tokens(page):
         if text:
             parts.append(text)
             if links:

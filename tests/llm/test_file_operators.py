@@ -50,6 +50,19 @@ def test_packed_documents(spark, sf_dir):
     assert len(bins) <= max(least + 1, 1.05 * least)
 
 
+def test_pages_with_open_heads_and_self_closed_icons_keep_their_text():
+    texts = lambda page: [x[0] for x in html_extract.leaf_blocks(page)]
+    assert texts("<html><head><title>x</title><meta a=b><body><article><p>one</p><p>two</p></article>") == ["one", "two"]
+    assert texts("<head><title>x</title><style>p{}</style><p>one") == ["one"]
+    assert texts("<head><script>'<p>no</p>'</script><title>x</title></head><p>one") == ["one"]
+    assert texts('<p><svg class="i"/>one</p><p>two</p><svg viewBox="0 0 1 1"><title>no</title></svg><p>three') == ["one", "two", "three"]
+    assert texts('<p>one <svg class="i"/></p>') == ["one"]
+    for name in ("svg", "noscript", "template", "iframe"):
+        assert texts(f"<p>one</p><{name} a=b><p>two</p>") == ["one", "two"]
+        assert texts(f"<p>one</p><{name} a=b>no</{name}><p>two</p>") == ["one", "two"]
+    assert texts("<p>one<script>no <p>no") == ["one"]
+
+
 def test_second_fit_takes_the_tighter_two():
     # 6 leaves a gap of 4, filled by 3 first; instead of 3, two of 2 fill the gap to the last place
     count = np.zeros(11, int)
