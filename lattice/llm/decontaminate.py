@@ -2,8 +2,9 @@
 
 A document contaminates an item if it holds at least ``percent`` % of the
 item's distinct five-word shingles. Whole-document MinHash can't see a short
-item in a long document, so items are partitioned by size into classes of up to
-16, 32, 64, ... shingles, and for each class that occurs every document is cut
+item in a long document. Items of up to 16 shingles are joined with the
+documents on the hashes of all their shingles, which misses none. Longer ones are
+partitioned by size into classes of up to 32, 64, ... shingles, and for each class that occurs every document is cut
 into blocks of that many shingles. An item of the class then touches few blocks,
 in one of which at least it is a large part: of two blocks that share an item
 at 75 % containment, 32 samples miss both with probability 5e-5. Samples that
@@ -62,22 +63,28 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 75, broadcast
     tests = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), split_words(F.col("text")).alias("w")).where("w IS NOT NULL")
     sizes = _positions(tests, "item_id").groupBy("item_id").agg(F.countDistinct("h").alias("q"))
     sized = F.greatest(F.lit(LEAST), F.pow(F.lit(2), F.ceil(F.log2("q"))).cast("int"))
-    sizes = scratch.table("sizes", sizes.select("item_id", sized.alias("class")))
+    sizes = scratch.table("sizes", sizes.select("item_id", "q", sized.alias("class")))
+    short = _positions(tests.join(sizes.where(f"class = {LEAST}"), "item_id"), "item_id", "q").select("item_id", "q", "h").distinct()
+    short = scratch.table("short", short)
+    sizes = sizes.where(f"class > {LEAST}").drop("q")
     wanted = _samples(
         _least(_positions(tests, "item_id").join(sizes, "item_id"), "class", "item_id"), "class", "item_id"
     )
     wanted = scratch.table("wanted", wanted.withColumnRenamed("class", "of"))
     small = wanted.count() <= broadcast_items * SAMPLES
+    few = short.count() <= broadcast_items * LEAST
 
     words = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     words = words.repartition("doc_id").select("doc_id", split_words(F.col("text")).alias("w")).where("w IS NOT NULL")
-    classes = sorted(x["class"] for x in sizes.select("class").distinct().collect()) or [LEAST]  # powers of two, 64 at most
+    classes = sorted(x["class"] for x in sizes.select("class").distinct().collect()) or [2 * LEAST]  # powers of two, 64 at most
     fine = _least(_positions(words, "doc_id").withColumn("block", F.expr(f"i div {classes[0]}")), "doc_id", "block")
     wider = [F.struct(F.lit(c).alias("class"), F.expr(f"block div {c // classes[0]}").alias("part")) for c in classes]
     spread = fine.withColumn("in", F.explode(F.array(*wider))).withColumns({"class": F.col("in.class"), "part": F.col("in.part")})
     blocks = spread.groupBy("doc_id", "class", "part").agg(*[F.min(f"m{k}").alias(f"m{k}") for k in range(SAMPLES)])
     found = _samples(blocks, "doc_id", "class").join(F.broadcast(wanted) if small else wanted, "v").where(F.col("class") == F.col("of"))
-    candidates = scratch.table("candidates", found.select("doc_id", "item_id").distinct())
+    held = _positions(words, "doc_id").select("doc_id", "h").join(F.broadcast(short) if few else short, "h")
+    held = held.groupBy("doc_id", "item_id", "q").agg(F.countDistinct("h").alias("n")).where(f"100 * n >= {percent} * q")
+    candidates = scratch.table("candidates", found.select("doc_id", "item_id").unionByName(held.select("doc_id", "item_id")).distinct())
 
     suspects = words.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", _shingle_texts().alias("held"))
     needed = tests.select("item_id", _shingle_texts().alias("asked"))

@@ -197,6 +197,15 @@ def test_short_items_in_long_documents(spark):
     assert {(r.doc_id, r.item_id) for r in contaminated(docs, items, percent=70, broadcast_items=0).collect()} == {(0, 1), (1, 1), (3, 2)}
 
 
+def test_items_of_few_words_are_never_missed(spark):
+    rng = random.Random(9)
+    items = [prose(rng, 5 + i % 4) for i in range(8)]
+    texts = [" ".join(prose(rng, 30 + k) + items[k % 8] + prose(rng, 40)) for k in range(400)]
+    rows = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    want = {(k, k % 8) for k in range(400)}
+    assert {(r.doc_id, r.item_id) for r in contaminated(documents(spark, *texts), rows).collect()} == want
+
+
 def test_contamination_of_awkward_rows(spark):
     items = spark.createDataFrame([(1, "one two"), (2, None)], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in contaminated(awkward(spark), items).collect()} == {(4, 1), (5, 1)}
