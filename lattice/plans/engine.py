@@ -87,7 +87,7 @@ class Engine:
         docs = cut(docs)
         chunks = kg.chunk_documents(docs, s["chunk_size"], s["chunk_overlap"])
         mentions = kg.extract_mentions(chunks)
-        merged = kg.merge_entities(mentions, descriptions=100)
+        merged = kg.merge_entities(mentions)
         entities = cut(merged.select(F.xxhash64("key").alias("id"), "key", "name", "entity_type", "description", "source_chunk_ids", "first_doc", "first_chunk", hashed_embedding(label(F.col("name"), F.col("description"))).alias("v")))
         relations = cut(kg.resolve_relations(kg.extract_relations(mentions), entities).select("id", "source_id", "target_id", F.lit("next to").alias("description")))
         nodes = entities.select("id", label(F.col("name"), F.col("description")).alias("text"), "v")

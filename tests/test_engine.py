@@ -33,6 +33,15 @@ def test_index_query_add_remove(spark, tmp_path):
     assert engine.search_entities("babbage").count() == 0
 
 
+def test_an_entity_keeps_all_of_its_mentions(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/store", chunk_size=500, chunk_overlap=50, max_levels=1, k_per_layer=3)
+    engine.index(corpus(tmp_path / "a.jsonl", [f"Babbage {c}{d}xyz." for c in "ABCDEFGHIJKL" for d in "abcdefghij"]))
+    one = engine.search_entities("babbage").collect()[0]
+    entity = engine.store.read()["entities"].where("key = 'babbage'").first()
+    assert len(entity["source_chunk_ids"]) == 120 and len(entity["description"].split(" ")) == 120
+    assert one["name"] == "Babbage"
+
+
 def test_readers_keep_their_version(spark, tmp_path):
     store = SnapshotStore(spark, f"file://{tmp_path}/s")
     assert store.current() is None and store.read() == {}
