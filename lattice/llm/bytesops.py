@@ -83,9 +83,9 @@ def slices(column: pa.Array | pa.ChunkedArray, most: int = 1 << 20) -> Iterator[
         row = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words in bytes, and the row of each."""
-    space = SPACES[data]
+    space = separators[data]
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none

@@ -1,24 +1,32 @@
 """Operator 6: toxicity by class-conditional Kneser-Ney models.
 
-Words are read as bytes between blanks, so that parts of unseen words count. One
-pooled Kneser-Ney model (contexts of up to 5, 3, 1 and 0 bytes, continuation
-counts below the longest) is counted over all texts; the toxic and the ordinary
-model hold their own counts for the longest contexts and back off to the pooled
-one, which so carries whatever a class has rarely seen. Most words of a toxic text are ordinary ones, so its likelihood
-is that of a mixture: each word comes from the toxic model with probability
-``MIXED``, else from the ordinary one. A text's feature is the difference of the
-two log-likelihoods over its number of words; a logistic curve, fitted on labelled rows that the counts leave out, turns it into a score.
-
-Counts are summed by Spark over all rows. The model that tasks load has a fixed
-size: n-grams are hashed into ``CELLS`` cells, however large the corpus is. The
-curve is fitted on at most ``calibration_rows`` rows, those with the least
-hashed ids.
-
-Defined cases: null and wordless texts have feature 0 and get the curve's value
-there; rows with equal ``doc_id`` are scored each by its own text and share the
+Words are runs of bytes other than ASCII blanks and punctuation, lower-cased. A
+toxic and an ordinary bigram model are counted on labelled rows, with contexts
+that run across words. Both have three levels, with absolute discounts: counts
+of word pairs; continuation counts (how many different words come before a
+word), so that copies of one text don't make its words frequent; and the shared
+counts of the word in all documents, labelled or not. An expression that is rare
+in one class so takes its probability from what both share, and a word that
+neither class has seen tells nothing.
+
+Most words of a toxic text are ordinary ones, so its likelihood is that of a
+mixture: each word comes from the toxic model at one of the ``RATES``, else from
+the ordinary one. The differences between these log-likelihoods and the ordinary
+one, over the number of words, are the features, with the logarithm of that
+number, as chance differences shrink with it; a logistic curve fitted on
+labelled rows that the models leave out turns them into a score.
+
+The models are fitted on a bounded sample: at most ``class_rows`` labelled rows
+of each class, those with the least hashed ids (and ``class_rows`` for the curve);
+what the driver gathers and tasks load is bounded by these rows' words. Their shared counts
+are summed by Spark over all words of all documents. No text is shuffled.
+
+Defined cases: null and wordless texts have features of 0 and get the curve's
+value there; rows with equal ``doc_id`` are scored each by its own text and share the
 label; rows without ``doc_id`` count as unlabelled; labels other than 0 and 1
 are ignored; with labels of one class or none, every score is that class's
-share (0 without any); an empty table gives no rows; other columns are ignored.
+share (0 without any); an empty table gives no rows; other columns pass through
+``with_scores``, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,179 +37,231 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lattice.llm.bytesops import LOWER, LOWER_CODES, powers, slices, span_hashes, word_hashes, words
+from lattice.llm.bytesops import mix, slices, word_hashes, words
 from lattice.llm.scratch import Scratch
 
-#: Cells for: longest n-grams, their contexts, middle n-grams, their contexts, byte pairs.
-CELLS = {"g6": 1 << 20, "c5": 1 << 19, "g4": 1 << 19, "c3": 1 << 17, "g2": 1 << 16}
-DISCOUNT = 0.75
-#: Pseudo-counts by which a class's own counts yield to the pooled model in every context.
-SHARED = 30.0
-#: Share of toxic expressions in a toxic text.
-MIXED = 0.01
-
-
-def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Cells of the n-grams that predict each byte, and the closing blank, of the words; and the word of each."""
-    size = ends - starts + 2
-    bounds = np.concatenate([[0], np.cumsum(size)])
-    inner = np.repeat(starts - 1 - bounds[:-1], size) + np.arange(bounds[-1])
-    edge = np.zeros(bounds[-1], bool)
-    edge[bounds[:-1]] = edge[bounds[1:] - 1] = True
-    text = np.where(edge, np.uint8(32), data[np.clip(inner, 0, max(0, len(data) - 1))] if len(data) else np.uint8(32))
-    sums = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum(LOWER_CODES[text] * powers(len(text) + 1)[0][: len(text)], out=sums[1:])
-    at = np.delete(np.arange(len(text)), bounds[:-1])
-    word = np.repeat(np.arange(len(size)), size - 1)
-    first = bounds[:-1][word]
-    out = {"ch": LOWER[text[at]].astype(np.int64)}
-    for name, back, ahead in (("g6", 5, 1), ("c5", 5, 0), ("g4", 3, 1), ("c3", 3, 0), ("g2", 1, 1)):
-        hashed = span_hashes(sums, np.maximum(first, at - back), at + ahead)
-        out[name] = (hashed % np.uint64(CELLS[name])).astype(np.int64)
-    return out, word
-
-
-def _vocabulary(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The slice's distinct words (starts, ends), the number of each word, the row of each word."""
-    starts, ends, row = words(data, offsets)
-    _, first, number = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    return starts[first], ends[first], number, row
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task: n-gram cells and their counts over all, toxic and ordinary texts. label is null, 0 or 1."""
-    names = ["g6", "c5", "g4", "c3", "g2", "ch"]
-    kept: np.ndarray | None = None
-
-    def merged(rows: np.ndarray) -> np.ndarray:
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        new = np.flatnonzero(np.concatenate([[True], (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])]))
-        out = rows[new]
-        out[:, 6:] = np.add.reduceat(rows[:, 6:], new, axis=0)
-        return out
-
+#: Pseudo-counts by which a context's own pairs yield to the class's word probabilities.
+CONTEXT = 10_000.0
+#: Pseudo-counts, as a share of a class's continuation counts, by which they yield to the shared ones.
+SHARED = 0.004
+#: Shares of toxic expressions in a toxic text.
+RATES = (0.5, 0.1, 0.02, 0.004)
+FEATURES = len(RATES) + 1
+#: Stands before the first word of a text.
+START = np.uint64(0x243F6A8885A308D3)
+#: ASCII other than letters and digits.
+SEPARATORS = np.zeros(256, bool)
+SEPARATORS[:128] = True
+SEPARATORS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
+
+
+def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each word, of the word before it in its text, and its row."""
+    starts, ends, row = words(data, offsets, SEPARATORS)
+    hashed = word_hashes(data, starts, ends)
+    before = np.empty_like(hashed)
+    before[1:] = hashed[:-1]
+    if len(row):
+        before[np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))] = START
+    return hashed, before, row
+
+
+def _pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(before * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
+def _class_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, w, n_1, n_0): pairs of words with their counts in toxic and ordinary rows (text, label)."""
     for batch in batches:
-        label = batch.column(1).fill_null(-1).to_numpy()
+        label = batch.column(1).to_numpy()
         for first, end, data, offsets in slices(batch.column(0)):
-            starts, ends, number, row = _vocabulary(data, offsets)
-            if not len(starts):
-                continue
-            of = label[first:end][row]
-            weights = [np.bincount(number, minlength=len(starts)), *[np.bincount(number[of == k], minlength=len(starts)) for k in (1, 0)]]
-            cells, word = _grams(data, starts, ends)
-            rows = merged(np.stack([*[cells[n] for n in names], *[w[word] for w in weights]], axis=1))
-            kept = rows if kept is None else merged(np.concatenate([kept, rows]))
-    if kept is not None:
-        for i in range(0, len(kept), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(kept[i : i + 50_000, k].astype(np.int64 if k > 5 else np.int32)) for k in range(9)], [*names, "n_all", "n_1", "n_0"])
+            word, before, row = _tokens(data, offsets)
+            _, at, number = np.unique(_pair(before, word), return_index=True, return_inverse=True)
+            toxic = label[first:end][row] == 1
+            counts = [np.bincount(number[side], minlength=len(at)) for side in (toxic, ~toxic)]
+            yield pa.RecordBatch.from_arrays([*[pa.array(x[at].view(np.int64)) for x in (before, word)], *map(pa.array, counts)], ["v", "w", "n_1", "n_0"])
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(w, n): words of all texts, summed within the task as far as a million different ones allow."""
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(keys), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000].view(np.int64)), pa.array(counts[i : i + 100_000])], ["w", "n"])
+
+    for batch in batches:
+        for _, _, data, offsets in slices(batch.column(0), 1 << 22):
+            found, n = np.unique(_tokens(data, offsets)[0], return_counts=True)
+            both = np.concatenate([keys, found])
+            keys, number = np.unique(both, return_inverse=True)
+            counts = np.bincount(number, weights=np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
+            if len(keys) > 1_000_000:
+                yield from out()
+                keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    yield from out()
+
+
+def discounts(count: np.ndarray) -> np.ndarray:
+    """What each count gives up: a discount of its own for counts of 1, 2 and more, from the numbers of counts of 1 to 4."""
+    seen = np.bincount(np.minimum(count, 5).astype(np.int64), minlength=6)
+    y = seen[1] / max(1, seen[1] + 2 * seen[2])
+    most = [0.0, *[float(np.clip(j - (j + 1) * y * seen[j + 1] / max(1, seen[j]), 0.5 * min(j, 2), j)) for j in (1, 2, 3)]]
+    return np.array(most)[np.minimum(count, 3).astype(np.int64)]
 
 
 class Model:
-    """Arrays of a fixed size; see the module's text."""
-
-    def __init__(self, counts: DataFrame):
-        """From the stored table of n-gram cells."""
-
-        def gathered(cell: str, table: DataFrame, *columns: str) -> list[np.ndarray]:
-            found = table.toPandas()  # at most CELLS[cell] rows
-            out = []
-            for c in columns:
-                full = np.zeros(CELLS[cell], np.float32)
-                full[found[cell].to_numpy()] = found[c].to_numpy()
-                out.append(full)
-            return out
-
-        types = [F.sum(F.when(F.col(c) > 0, 1).otherwise(0)).alias(f"t_{c[2:]}") for c in ("n_all", "n_1", "n_0")]
-        sums = [F.sum(c).alias(c) for c in ("n_all", "n_1", "n_0")]
-        self.top = gathered("g6", counts.groupBy("g6").agg(*sums), "n_all", "n_1", "n_0")
-        self.context = gathered("c5", counts.groupBy("c5").agg(*sums, *types), "n_all", "n_1", "n_0", "t_all", "t_1", "t_0")
-        fours = counts.groupBy("g4", "c3", "g2", "ch").agg(F.count("*").alias("k"))
-        self.four = gathered("g4", fours.groupBy("g4").agg(F.sum("k").alias("k")), "k")[0]
-        self.three = gathered("c3", fours.groupBy("c3").agg(F.sum("k").alias("k"), F.count("*").alias("t")), "k", "t")
-        pairs = fours.groupBy("g2", "ch").agg(F.count("*").alias("k")).toPandas()
-        ones = np.bincount(pairs["ch"], weights=np.ones(len(pairs)), minlength=256) + 1.0
-        self.one = (ones / ones.sum()).astype(np.float32)
-        two = np.bincount(pairs["g2"], weights=pairs["k"], minlength=CELLS["g2"])
-        self.two = (two / max(1.0, two.sum())).astype(np.float32)
-        self.slope, self.intercept = 0.0, 0.0
-
-    def word_scores(self, cells: dict[str, np.ndarray], word: np.ndarray, n_words: int) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary) of each word."""
-        d = np.float32(DISCOUNT)
-        low = 0.5 * self.one[cells["ch"]] + 0.5 * self.two[cells["g2"]]
-        k3, t3 = (x[cells["c3"]] for x in self.three)
-        low = np.where(k3 > 0, (np.maximum(self.four[cells["g4"]] - d, 0) + d * t3 * low) / np.maximum(k3, 1), low)
-        n_all, n_1, n_0, t_all, t_1, t_0 = (x[cells["c5"]] for x in self.context)
-        g_all, g_1, g_0 = (x[cells["g6"]] for x in self.top)
-        pooled = np.where(n_all > 0, (np.maximum(g_all - d, 0) + d * t_all * low) / np.maximum(n_all, 1), low)
-        shared = np.float32(SHARED)
-        toxic = (np.maximum(g_1 - d, 0) + (d * t_1 + shared) * pooled) / (n_1 + shared)
-        plain = (np.maximum(g_0 - d, 0) + (d * t_0 + shared) * pooled) / (n_0 + shared)
-        return np.bincount(word, weights=np.log(np.maximum(toxic, 1e-12)) - np.log(np.maximum(plain, 1e-12)), minlength=n_words)
+    """Class-conditional models as sorted arrays of hashes and their probabilities."""
+
+    def __init__(self, pairs: dict[str, np.ndarray], shared: dict[str, np.ndarray], total: int):
+        """``pairs``: v, w, n_1, n_0 of different pairs; ``shared``: w, n of those words in all documents; ``total``: words of all documents."""
+        v, w = pairs["v"].view(np.uint64), pairs["w"].view(np.uint64)
+        self.words, place = np.unique(np.concatenate([w, v]), return_inverse=True)
+        n, w, v = len(self.words), place[: len(w)], place[len(w) :]
+        everywhere = np.zeros(n)
+        if len(shared["w"]):
+            everywhere[np.searchsorted(self.words, shared["w"].view(np.uint64))] = shared["n"]
+        base = np.maximum(everywhere, 1) / max(1, total)
+        key = _pair(self.words[v], self.words[w])
+        order = np.argsort(key)
+        self.pairs, self.over, self.yields, self.low, self.unseen = key[order], [], [], [], []
+        self.counts = []
+        for c in ("n_1", "n_0"):
+            count = pairs[c].astype(np.float64)
+            taken = discounts(count)
+            follow = np.bincount(w, count > 0, n)
+            less = discounts(follow)
+            k = max(1.0, follow.sum())
+            left = less.sum() + SHARED * k
+            self.low.append(((follow - less + left * base) / ((1 + SHARED) * k)).astype(np.float32))
+            self.unseen.append(left / ((1 + SHARED) * k))
+            seen = np.bincount(v, count, n) + CONTEXT
+            self.over.append((1 / seen).astype(np.float32))
+            self.yields.append(((np.bincount(v, taken, n) + CONTEXT) / seen).astype(np.float32))
+            self.counts.append((count - taken).astype(np.float32)[order])
+        self.weights = np.zeros(FEATURES + 1)
+
+    @staticmethod
+    def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Places of sorted ``wanted`` among ``keys``; len(keys) where missing."""
+        at = np.searchsorted(keys, wanted)
+        hit = at < len(keys)
+        hit[hit] = keys[at[hit]] == wanted[hit]
+        return np.where(hit, at, len(keys))
+
+    def log_ratios(self, word: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """log P(word | before, toxic) - log P(word | before, ordinary) of each word."""
+        kinds, number = np.unique(np.concatenate([word, before]), return_inverse=True)
+        place = self._find(self.words, kinds)[number]
+        w, v = place[: len(word)], place[len(word) :]
+        pair, number = np.unique(_pair(before, word), return_inverse=True)
+        pair = self._find(self.pairs, pair)[number]
+        logs = []
+        for low, unseen, over, yields, counts in zip(self.low, self.unseen, self.over, self.yields, self.counts):
+            # what lies past the end stands for unseen words, contexts and pairs
+            low, over, yields, counts = np.append(low, np.float32(unseen)), np.append(over, np.float32(0)), np.append(yields, np.float32(1)), np.append(counts, np.float32(0))
+            logs.append(np.log(counts[pair] * over[v] + yields[v] * low[w]))
+        return logs[0] - logs[1]
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Length-normalised log-likelihood difference of each row."""
-        starts, ends, number, row = _vocabulary(data, offsets)
+        """Length-normalised log-likelihood differences of each row, one for each of the rates, and the logarithm of its words."""
+        word, before, row = _tokens(data, offsets)
         rows = len(offsets) - 1
-        if not len(starts):
-            return np.zeros(rows)
-        cells, word = _grams(data, starts, ends)
-        of_word = np.log1p(MIXED * np.expm1(np.minimum(self.word_scores(cells, word, len(starts)), 50)))
-        mean = np.bincount(row, weights=of_word[number], minlength=rows) / np.maximum(1, np.bincount(row, minlength=rows))
-        return np.sign(mean) * np.sqrt(np.abs(mean))  # evens out the long upper tail for the curve
+        out = np.zeros((rows, FEATURES))
+        if len(word):
+            gain = np.expm1(np.clip(self.log_ratios(word, before), -30, 30))
+            n = np.maximum(1, np.bincount(row, minlength=rows))
+            for k, rate in enumerate(RATES):
+                mean = np.bincount(row, np.log1p(rate * gain), rows) / n
+                out[:, k] = np.sign(mean) * np.sqrt(np.abs(mean))  # evens out the long upper tail for the curve
+            out[:, -1] = np.log(n)
+        return out
 
     def fit_curve(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Logistic regression of y on x by Newton steps, with a small ridge."""
+        """Logistic regression of y on the features by Newton steps, with a small ridge."""
+        self.weights = np.zeros(FEATURES + 1)
         if not len(y) or y.min() == y.max():
-            share = float(y.mean()) if len(y) else 0.0
-            self.slope, self.intercept = 0.0, 40.0 * (2 * share - 1)
+            self.weights[-1] = 40.0 * (2 * (float(y.mean()) if len(y) else 0.0) - 1)
             return
-        scale = float(x.std()) or 1.0
-        design, w = np.stack([x / scale, np.ones(len(x))], axis=1), np.zeros(2)
-        for _ in range(50):
+        mean, scale = x.mean(axis=0), np.where(x.std(axis=0) > 1e-12, x.std(axis=0), 1.0)
+        design, w = np.column_stack([(x - mean) / scale, np.ones(len(x))]), np.zeros(FEATURES + 1)
+        ridge = np.append(np.full(FEATURES, 0.1), 1e-6)
+        for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(design @ w, -40, 40)))
-            grad = design.T @ (p - y) + 1e-3 * w
-            step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2), grad)
-            w -= step
+            step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + np.diag(ridge), design.T @ (p - y) + ridge * w)
+            w -= step / max(1.0, float(np.abs(step).max()) / 2)  # steps of 2 standard deviations at most
             if np.abs(step).max() < 1e-9:
                 break
-        self.slope, self.intercept = float(w[0] / scale), float(w[1])
+        self.weights = np.append(w[:-1] / scale, w[-1] - (w[:-1] / scale) @ mean)
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -500, 500)))
 
 
-def _scored(docs: DataFrame, model: Model, columns: str, keep: list[str]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _scored(rows: DataFrame, model: Model, score: str) -> DataFrame:
+    """``rows``, whose first column is the text, with the features (f0, f1, ...) where ``score`` is empty, else with a column of scores by that name."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    new = [score] if score else [f"f{k}" for k in range(FEATURES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             found = [own.features(data, offsets) for _, _, data, offsets in slices(batch.column(0))]
-            x = np.concatenate(found) if found else np.zeros(0)
-            score = 1 / (1 + np.exp(-np.clip(own.slope * x + own.intercept, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i + 1) for i in range(len(keep))], pa.array(x), pa.array(score)], [*keep, "feature", "score"])
+            x = np.concatenate(found) if found else np.zeros((0, FEATURES))
+            columns = [own.score(x)] if score else list(x.T)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c) for c in columns]], [*batch.schema.names, *new])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *[StructField(c, DoubleType()) for c in new]]))
 
-    return docs.select("text", *keep).mapInArrow(run, f"{columns}, feature double, score double")
 
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).combine_chunks().to_numpy() if table.num_rows else np.zeros(0, np.int64)
 
-def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, calibration_rows: int = 50_000) -> Model:
-    """Model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic): a fifth of the labelled rows, by crc32, fits the curve, the rest the class counts."""
-    known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
-    known = known.withColumn("curve", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1)
+
+def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, class_rows: int = 5_000) -> Model:
+    """Model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic): a fifth of the labelled rows, by crc32, fits the curve, the rest the classes."""
+    known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("of")).agg(F.max("toxic").cast("int").alias("label"))
+    curve = F.pmod(F.crc32(F.col("of").cast("string").cast("binary")), F.lit(5)) == 1
+    known = known.withColumn("use", F.when(curve, "curve").otherwise(F.concat(F.lit("class"), "label")))
+    chosen = None
+    for use in ("curve", "class0", "class1"):
+        some = known.where(F.col("use") == use).orderBy(F.xxhash64("of"), "of").limit(class_rows)
+        chosen = some if chosen is None else chosen.unionByName(some)
+    chosen = scratch.table("chosen", chosen)  # 3 x class_rows rows at most
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = rows.join(known, "doc_id", "left")
-    counted = joined.select("text", F.when(~F.col("curve"), F.col("label")).alias("label")).mapInArrow(_count, "g6 int, c5 int, g4 int, c3 int, g2 int, ch int, n_all long, n_1 long, n_0 long")
-    counts = scratch.table("counts", counted.groupBy("g6", "c5", "g4", "c3", "g2", "ch").agg(*[F.sum(c).alias(c) for c in ("n_all", "n_1", "n_0")]))
-    model = Model(counts)
-    chosen = known.where("curve").orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows)
-    sample = _scored(rows.join(chosen, "doc_id"), model, "label int", ["label"]).toPandas()
-    model.fit_curve(sample["feature"].to_numpy(), sample["label"].to_numpy(float))
+    sample = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("text", "label", "use")
+    sample = scratch.table("sample", sample)
+
+    pairs = sample.where("use <> 'curve'").select("text", "label").mapInArrow(_class_pairs, "v long, w long, n_1 long, n_0 long")
+    pairs = scratch.table("pairs", pairs.groupBy("v", "w").agg(F.sum("n_1").alias("n_1"), F.sum("n_0").alias("n_0")))
+    counts = scratch.table("counts", rows.select("text").mapInArrow(_word_counts, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    used = pairs.select("w").distinct()
+    gathered, common = pairs.toArrow(), counts.join(used, "w", "left_semi").toArrow()
+    model = Model({c: _column(gathered, c) for c in ("v", "w", "n_1", "n_0")}, {c: _column(common, c) for c in ("w", "n")}, total)
+    found = _scored(sample.where("use = 'curve'").select("text", "label"), model, "").drop("text").toPandas()
+    model.fit_curve(found[[f"f{k}" for k in range(FEATURES)]].to_numpy(), found["label"].to_numpy(float))
+    scratch.drop("chosen", "sample", "pairs", "counts")
     return model
 
 
+def _held_out():
+    return F.pmod(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")), F.lit(5)) == 0
+
+
+def with_scores(docs: DataFrame, labels: DataFrame, score: str = "score") -> DataFrame:
+    """``docs`` with one more column, the score of each row's text; a column of ``docs`` with that name is left out. Labels of held-out rows are never read."""
+    model = train(docs, labels.where(~_held_out()), Scratch(docs.sparkSession, "toxicity"))
+    kept = [c for c in docs.columns if c != score]
+    inner = docs.select(F.col("text").cast("string").alias("read"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)])
+    scored = _scored(inner, model, "scored")
+    return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], F.col("scored").alias(score))
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each document; labels of held-out rows are never read."""
-    scratch = Scratch(docs.sparkSession, "toxicity")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
-    model = train(docs, labels.where(~held_out), scratch)
-    scored = _scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model, "doc_id long", ["doc_id"])
-    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scored = with_scores(rows, labels)
+    return scored.select("doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
