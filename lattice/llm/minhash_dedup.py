@@ -199,7 +199,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     best = scratch.table("best", best)
     paired = linked.select(F.explode(F.array("a", "b")).alias("id")).unionByName(shared.where("n > 3").select("id")).distinct()
     texts = scratch.table("texts", rows.withColumnRenamed("doc_id", "id").join(paired, "id").dropDuplicates(["id", "text"]).select("id", "text"))
-    links = scratch.table("links-1", confirmed(best, texts, percent))
+    several = some.join(classes, key).select("doc_id", "id").distinct()  # a doc_id of several rows may have several sets
+    least = several.groupBy("doc_id").agg(F.min("id").alias("a"), F.count("*").alias("k")).where("k > 1")
+    same = several.join(least, "doc_id").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    links = scratch.table("links-1", confirmed(best, texts, percent).unionByName(same))
     scratch.drop()
     label = connected_components(links, scratch, "first")
 

@@ -18,8 +18,11 @@ place, so suffixes are sorted only where repeats can be:
    preceding byte, the common prefixes of neighbours grow by one, and where one
    reaches 400 the windows that start there are repeated. Expansion ends at the
    window's greatest distance from its anchor, intervals of one row leave.
-   Anchors with more than ``MOST`` different contexts are left to a plain count
-   of hashed windows, spread over tasks.
+   One task takes an interval of ``MOST`` contexts at most. Of a larger one, equal
+   windows agree on half of the 300 bytes beside the anchor either before it or
+   after it, so its contexts are dealt into an interval for each different
+   stretch before the anchor and one for each after it; these are narrowed on
+   until they are small or have whole windows in common.
 
 Defined cases: null and empty texts have no bytes; texts under 400 bytes lose
 nothing; a text may repeat itself; repeated rows count as occurrences of their
@@ -179,19 +182,6 @@ def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(rows)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two hashes of each window of the contexts."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            anchor, d, x, lo, text, at, single = (c[k].as_py() for c in batch.columns)
-            data = np.frombuffer(text, np.uint8)
-            start = np.arange(len(data) - LENGTH + 1)
-            second = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(_OTHER[data] * powers(len(data) + 1)[0][: len(data)], out=second[1:])
-            hashes = [span_hashes(s, start, start + LENGTH).view(np.int64) for s in (prefix_sums(data, CODES), second)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), v)) for v in (d, x)] + [pa.array(lo + start), *map(pa.array, hashes), pa.array(np.full(len(start), single))], ["d", "x", "s", "h1", "h2", "single"])
-
-
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
@@ -214,34 +204,62 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()))]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def _narrowed(big: DataFrame, step: int) -> DataFrame:
+    """The contexts of ``big`` in two groups each: by ``step`` bytes more before, and by ``step`` bytes more after what their group has in common."""
+    own = [c for c in big.columns if c not in ("anchor", "before", "after")]
+    left = F.expr(f"substring(context, cast(at - before - {step} + 1 as int), {step})")
+    right = F.expr(f"substring(context, cast(at + {GRAM} + after + 1 as int), {step})")
+    sides = [
+        big.where(f"at >= before + {step}").select(F.xxhash64("anchor", F.lit("before"), left).alias("anchor"), (F.col("before") + step).alias("before"), "after", *own),
+        big.where(f"octet_length(context) >= at + {GRAM} + after + {step}").select(F.xxhash64("anchor", F.lit("after"), right).alias("anchor"), "before", (F.col("after") + step).alias("after"), *own),
+    ]
+    return sides[0].unionByName(sides[1])
+
+
+def _counted(texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``texts`` with the size k of their groups; groups of one are left out."""
+    sizes = scratch.table(f"{name}-sizes", texts.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1"))
+    return scratch.table(name, texts.join(sizes, "anchor"))
+
+
 def repeated_spans(rows: DataFrame, scratch: Scratch, most: int = MOST) -> DataFrame:
     """(d, x, a, b): byte spans of rows (d, x, text), keyed by (d, x), that repeated windows cover; they may overlap."""
     found = scratch.table("found", rows.select("d", "x", "text").mapInArrow(_contexts, "d long, x long, anchor long, c1 long, c2 long, lo int, hi int, at int"))
-    often = found.groupBy("anchor").count().where("count > 1").select("anchor")
+    often = scratch.table("often", found.groupBy("anchor").count().where("count > 1").select("anchor"))
     again = scratch.table("again", found.join(often, "anchor"))
-    scratch.drop("found")
+    scratch.drop("found", "often")
     kinds = again.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("d", "x", "lo", "hi", "at")).alias("r"))
     kinds = scratch.table("kinds", kinds)
     full = again.join(kinds.where("n > 1").select("anchor", "c1", "c2"), ["anchor", "c1", "c2"], "left_semi")
-    full = full.select("d", "x", F.col("lo").cast("long").alias("a"), (F.col("hi") + LENGTH).cast("long").alias("b"))
+    spans = full.select("d", "x", F.col("lo").cast("long").alias("a"), (F.col("hi") + LENGTH).cast("long").alias("b"))
 
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1")
+    several = scratch.table("several", kinds.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1"))
     reps = kinds.join(several, "anchor").select("anchor", "r.*", (F.col("n") == 1).alias("single"), "k")
     cut = F.expr(f"substring(cast(text as binary), lo + 1, hi - lo + {LENGTH})").alias("context")
     texts = rows.dropDuplicates(["d", "x"]).join(reps, ["d", "x"]).select("anchor", "d", "x", F.col("lo").cast("long"), cut, (F.col("at") - F.col("lo")).cast("long").alias("at"), "single", "k")
-    texts = scratch.table("contexts", texts)
-    usual = texts.where(F.col("k") <= most).drop("k").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_expanded, "d long, x long, a long, b long")
-    windows = texts.where(F.col("k") > most).drop("k").mapInArrow(_windows, "d long, x long, s long, h1 long, h2 long, single boolean")
-    twice = windows.groupBy("h1", "h2").count().where("count > 1")
-    wide = windows.where("single").join(twice, ["h1", "h2"], "left_semi").select("d", "x", F.col("s").alias("a"), (F.col("s") + LENGTH).alias("b"))
-    return full.unionByName(usual).unionByName(wide)
+    texts = scratch.table("contexts", texts.withColumns({"before": F.lit(0), "after": F.lit(0)}))
+    rest = LENGTH - GRAM
+    while True:
+        usual = texts.where(F.col("k") <= most).select("anchor", "d", "x", "lo", "context", "at", "single")
+        usual = usual.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_expanded, "d long, x long, a long, b long")
+        spans = spans.unionByName(usual)
+        big = texts.where(F.col("k") > most).drop("k")
+        if big.isEmpty():
+            return spans
+        step = (rest + 1) // 2
+        rest -= step
+        texts = _counted(_narrowed(big, step), scratch, f"narrowed-{rest}")
+        if not rest:  # what a group has in common is a whole window
+            same = F.col("lo") + F.col("at")
+            return spans.unionByName(texts.where("single").select("d", "x", (same - F.col("before")).alias("a"), (same + GRAM + F.col("after")).alias("b")))
 
 
 def remove_repeats(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each of ``docs`` (doc_id, text)."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats) of each of ``docs`` (doc_id, text); repeats: whether anything was removed."""
     scratch = Scratch(docs.sparkSession, "suffix")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = rows.withColumns({"d": F.coalesce("doc_id", F.lit(-1)), "x": F.xxhash64("text")})
     spans = repeated_spans(keyed, scratch, most).groupBy("d", "x").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     joined = keyed.join(spans, ["d", "x"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    done = joined.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return done.withColumn("repeats", F.col("n_removed") > 0)

@@ -1,14 +1,18 @@
 """Duplicates, decontamination, lines and toxicity against plain Python versions."""
 
+import hashlib
+import math
 import os
 import random
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cases import LONG, awkward, distance, documents, empty, groups, near, shingles, split
-from lattice.llm import queries
+from lattice.llm import queries, toxicity
 from lattice.llm.decontaminate import ORACLE, contaminated
 from lattice.llm.graph import connected_components
 from lattice.llm.line_dedup import dedup_lines
@@ -60,6 +64,14 @@ def test_near_duplicates_of_awkward_rows(spark):
     assert near_duplicates(empty(spark)).count() == 0
 
 
+def test_texts_of_one_document_link_their_groups(spark):
+    rng = random.Random(4)
+    a, b, c = (" ".join(prose(rng, 40)) for _ in range(3))
+    rows = spark.createDataFrame([(3, a), (5, a), (5, b), (7, b), (8, c), (8, "some other words stand here"), (9, c + " more")], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in near_duplicates(rows).collect()}
+    assert found == {3: 3, 5: 3, 7: 3, 8: 8, 9: 8}
+
+
 def test_components_of_a_path(spark):
     links = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     found = connected_components(links, Scratch(spark, "test")).collect()
@@ -78,22 +90,22 @@ def repeats(texts):
         for i in range(len(x) - LENGTH + 1):
             if seen[hash(x[i : i + LENGTH])] > 1:
                 gone[i : i + LENGTH] = b"\1" * LENGTH
-        out.append((len(x), sum(gone), sum(g and not p for p, g in zip(b"\0" + gone, gone))))
+        kept = bytes(c for c, g in zip(x, gone) if not g)
+        out.append((len(x), sum(gone), sum(g and not p for p, g in zip(b"\0" + gone, gone)), hashlib.sha256(kept).hexdigest(), any(gone)))
     return out
 
 
 def test_repeated_bytes_of_the_table(spark, sf_dir):
-    texts = texts_of(spark, sf_dir)
+    at = os.path.join(os.path.dirname(sf_dir), "sf0.01")
+    texts = texts_of(spark, at)
     want = dict(zip(texts, repeats(texts.values())))
-    found = queries.op5_suffix_dedup(spark, sf_dir).collect()
+    found = queries.op5_suffix_dedup(spark, at).collect()
     assert len(found) == len(texts)
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in found} == want
+    assert {r.doc_id: tuple(r)[1:] for r in found} == want
 
 
-@pytest.mark.parametrize("most", [20_000, 1])
+@pytest.mark.parametrize("most", [20_000, 7, 1])
 def test_repeated_bytes_of_hard_cases(spark, most):
-    import hashlib
-
     rng = random.Random(5)
     a, b, c = ("".join(rng.choices("abcdefgh é", k=k)) for k in (390, 600, 900))
     texts = [None, "", a + a, a + b, b + a + "!", c + "x" + c, "z" * 401, "z" * 399, "y" * 2000, c[:450], "q" + c[40:500] + "r", b[100:560] + c[:400], LONG, LONG]
@@ -102,7 +114,7 @@ def test_repeated_bytes_of_hard_cases(spark, most):
         texts.append("".join(rng.choices("mnop", k=rng.randrange(50))) + c[i : i + k] + "".join(rng.choices("mnop", k=30)))
     found = {r.doc_id: r for r in remove_repeats(documents(spark, *texts), most).collect()}
     for i, want in enumerate(repeats(texts)):
-        assert (found[i].n_bytes, found[i].n_removed, found[i].n_spans) == want, i
+        assert tuple(found[i])[1:] == want, i
     assert found[6].n_removed == 401 and found[7].n_removed == 0
     assert found[12].kept_sha256 == hashlib.sha256(b"").hexdigest()
 
@@ -222,7 +234,7 @@ def test_lines_of_the_table_lose_every_exact_copy(spark, sf_dir):
     texts = texts_of(spark, sf_dir)
     done = {r.doc_id: r for r in queries.op10_line_dedup(spark, sf_dir).collect()}
     assert set(done) == set(texts)
-    norm = lambda x: re.sub(r"[\x00-/:-@\[-`{-\x7F]+", " ", x.lower()).strip(" ")
+    norm = lambda x: " ".join(re.findall(r"[^\W_]+", x.lower()))
     left = Counter(norm(x) for r in done.values() for x in (r.text or "").split("\n"))
     assert max(v for k, v in left.items() if k) == 1
     for i, r in done.items():
@@ -255,12 +267,34 @@ def test_the_first_line_of_each_group_stays_and_copies_go(fuzzy):
     assert not any(norm[j] == norm[i] for i in stays for j in stays if j < i)
 
 
-@pytest.mark.xfail(reason="of the 24 lines with one word of 30 edited, 14 have a SimHash more than three bits away: a known shortfall, see the README", strict=False)
 def test_every_edited_line_goes(fuzzy):
     _, want, stays = fuzzy
     assert stays == {i for i, g in want.items() if i == g}
 
 
+def test_edited_lines_are_found(spark):
+    """Recall on lines with one to three words of 30 edited, one of 8, and one in a line of over WIDE words: all with one edit, four in five with two."""
+    rng = random.Random(11)
+    lines, kinds = [], []
+
+    def put(n, edits, times):
+        for _ in range(times):
+            a = prose(rng, n)
+            b = list(a)
+            for i in rng.sample(range(n), edits):
+                b[i] = b[i][:-1] + "x"
+            lines.extend([" ".join(a), " ".join(b)])
+            kinds.append((n, edits))
+
+    for n, edits, times in ((30, 1, 100), (30, 2, 100), (30, 3, 100), (8, 1, 100), (5000, 1, 2)):
+        put(n, edits, times)
+    found = {r.doc_id: r.n_removed for r in dedup_lines(documents(spark, *lines)).select("doc_id", "n_removed").collect()}
+    share = {k: sum(found[2 * i + 1] for i, x in enumerate(kinds) if x == k) / kinds.count(k) for k in set(kinds)}
+    assert not any(found[2 * i] for i in range(len(kinds)))
+    assert share[30, 1] == share[8, 1] == share[5000, 1] == 1
+    assert share[30, 2] >= 0.75 and share[30, 3] >= 0.3
+
+
 def test_lines_of_awkward_rows(spark):
     rows = awkward(spark)
     found = dedup_lines(rows)
@@ -288,6 +322,54 @@ def test_toxicity_of_held_out_documents(spark, sf_dir):
     assert all(r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for r in found.collect())
 
 
+def plain_log_ratios(words, toxic, ordinary, everything):
+    """log P(word | before, toxic) - log P(word | before, ordinary) of each of ``words`` by dictionaries; texts are lists of words."""
+    shared = Counter(w for t in everything for w in t)
+    total, vocabulary = sum(shared.values()), {w for t in toxic + ordinary for w in ["", *t]}
+
+    def given_up(counts):
+        n = Counter(counts)
+        y = n[1] / max(1, n[1] + 2 * n[2])
+        most = {j: min(max(j - (j + 1) * y * n[j + 1] / max(1, n[j]), 0.5 * min(j, 2)), j) for j in (1, 2, 3)}
+        return lambda c: most[min(c, 3)] if c else 0.0
+
+    def model(texts):
+        pairs = Counter(p for t in texts for p in zip(["", *t], t))
+        follow, context, kinds = Counter(w for _, w in pairs), Counter(), Counter()
+        less, low_less = given_up(pairs.values()), given_up(follow.values())
+        for (v, _), c in pairs.items():
+            context[v] += c
+            kinds[v] += less(c)
+        k = sum(follow.values())
+        left = sum(low_less(c) for c in follow.values()) + toxicity.SHARED * k
+
+        def p(v, w):
+            base = max(1, shared[w]) / total if w in vocabulary else 1.0
+            low = (follow[w] - low_less(follow[w]) + left * base) / ((1 + toxicity.SHARED) * k)
+            return (pairs[v, w] - less(pairs[v, w]) + (kinds[v] + toxicity.CONTEXT) * low) / (context[v] + toxicity.CONTEXT)
+
+        return p
+
+    one, two = model(toxic), model(ordinary)
+    return [math.log(one(v, w)) - math.log(two(v, w)) for v, w in zip(["", *words], words)]
+
+
+def test_toxicity_models_are_plain_kneser_ney(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(30)]
+    docs = [[rng.choice(words[:20] if i % 3 else words[10:]) for _ in range(rng.randrange(1, 60))] for i in range(60)]
+    rows = documents(spark, *[", ".join(x).upper() for x in docs])
+    labels = {i: int(i % 3 == 0) for i in range(40)}
+    table = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    model = toxicity.train(rows, table, Scratch(spark, "test"))
+    crc = lambda i: zlib.crc32(str(i).encode()) % 5
+    classes = [[docs[i] for i, x in labels.items() if x == k and crc(i) != 1] for k in (1, 0)]
+    for text in (docs[50], docs[51], ["w3", "never", "seen", "w29"]):
+        data = " ".join(text).encode()
+        hashed, before, _ = toxicity._tokens(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        assert model.log_ratios(hashed, before).tolist() == pytest.approx(plain_log_ratios(text, *classes, docs), rel=1e-3, abs=1e-4)
+
+
 def test_labels_of_held_out_rows_are_never_read(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
