@@ -220,7 +220,7 @@ def _column(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).combine_chunks().to_numpy() if table.num_rows else np.zeros(0, np.int64)
 
 
-def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, class_rows: int = 5_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, class_rows: int = 3_000) -> Model:
     """Model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic): a fifth of the labelled rows, by crc32, fits the curve, the rest the classes."""
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("of")).agg(F.max("toxic").cast("int").alias("label"))
     curve = F.pmod(F.crc32(F.col("of").cast("string").cast("binary")), F.lit(5)) == 1

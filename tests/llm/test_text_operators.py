@@ -310,13 +310,13 @@ def test_lines_of_awkward_rows(spark):
 
 
 def test_toxicity_of_held_out_documents(spark, sf_dir):
-    at = os.path.join(os.path.dirname(sf_dir), "sf0.01")
+    at = os.path.join(os.path.dirname(sf_dir), "sf0.1")  # smaller tables have six toxic documents held out at most, two of them by the labels' noise alone
     labels = spark.read.parquet(f"{at}/labels.parquet").select("doc_id", "toxic")
     found = queries.op6_toxicity(spark, at)
     assert found.count() == spark.read.parquet(f"{at}/documents.parquet").count()
     rows = found.where("held_out").join(labels, "doc_id").collect()
     bad, good = [r.score for r in rows if r.toxic == 1], [r.score for r in rows if r.toxic == 0]
-    assert len(bad) > 3 and len(good) > 20
+    assert len(bad) > 30 and len(good) > 200
     above = sum((x > y) + (x == y) / 2 for x in bad for y in good) / (len(bad) * len(good))
     assert above >= 0.9
     assert all(r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for r in found.collect())
