@@ -56,7 +56,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattice.llm.flac import media_digests
 
-    return media_digests(table(spark, sf_dir, "documents")).drop("media")
+    return media_digests(table(spark, sf_dir, "documents"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

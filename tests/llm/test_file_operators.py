@@ -142,8 +142,11 @@ def test_seek_points_stand_at_frames():
     stream = flac.encode([bytes(range(192)) * 400])[0]
     points = flac.seek(stream)
     assert len(points) > 2 and points[0][0] == 0
-    for sample, at, _ in points:
-        assert sample % flac.BLOCK == 0
+    for sample, at, n in points:
+        assert sample % flac.BLOCK == 0 and n == flac.BLOCK
+        assert stream[at : at + 2] == b"\xff\xf8"  # a frame starts there, and its header names the block
+        number, head = sample // flac.BLOCK, stream[at + 4 : at + 7].hex()
+        assert head.startswith(flac._utf8_number(number).hex())
     assert [p[0] for p in points] == sorted(p[0] for p in points)
 
 
@@ -157,6 +160,18 @@ def test_media_columns(spark, sf_dir):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
 
 
+def test_a_stored_media_column_gives_its_texts_back(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    long = spark.createDataFrame([(-1, "a very long line of text " * 90_000)], "doc_id long, text string")
+    flac.media_column(docs.select("doc_id", "text").unionByName(long)).write.parquet(f"file://{tmp_path}/media")
+    texts = texts_of(spark, sf_dir) | {-1: long.first()["text"]}
+    rows = spark.read.parquet(f"file://{tmp_path}/media").collect()
+    assert len(rows) == len(texts)
+    for r, back in zip(rows, flac.decode([bytes(r.media) for r in rows])):
+        assert back[: r.n_bytes] == (texts[r.doc_id] or "").encode() and not back[r.n_bytes :].strip()
+        assert r.blocks[0].sample == 0 and all(bytes(r.media)[b.at : b.at + 2] == b"\xff\xf8" for b in r.blocks)
+
+
 def test_media_of_awkward_rows(spark):
     rows = flac.media_digests(awkward(spark)).collect()
     assert len(rows) == 12 and len({r.media_sha256 for r in rows if r.doc_id in (1, 2)}) == 1
