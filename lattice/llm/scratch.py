@@ -23,6 +23,8 @@ def shared_root(spark: SparkSession) -> str:
     if root:
         path = spark._jvm.org.apache.hadoop.fs.Path(root)
         return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="lattice-")
     atexit.register(shutil.rmtree, made, True)
     spark.conf.set("spark.checkpoint.dir", f"file://{made}")

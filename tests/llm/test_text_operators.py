@@ -128,6 +128,19 @@ def test_repeated_bytes_of_awkward_rows(spark):
 # fuzzy passages
 
 
+@pytest.mark.parametrize("every, least", [(16, 0.98), (8, 0.95), (6, 0.9)])
+def test_edited_passages_are_found(spark, every, least):
+    """Recall on 60 passages of 80 words of which the second document has every so many words changed."""
+    rng = random.Random(every)
+    texts = []
+    for _ in range(60):
+        a = prose(rng, 80)
+        b = [w + "x" if i % every == every - 1 else w for i, w in enumerate(a)]
+        texts += [" ".join(prose(rng, 60) + x + prose(rng, 60)) for x in (a, b)]
+    found = {(r.doc_id, r.partner_id) for r in passages(documents(spark, *texts)).collect() if r.matches >= 40}
+    assert sum((2 * i, 2 * i + 1) in found or (2 * i + 1, 2 * i) in found for i in range(60)) >= least * 60
+
+
 def test_passages_cover_every_shared_run_of_fifty_words(spark, sf_dir):
     texts = {i: split(t) for i, t in texts_of(spark, sf_dir).items()}
     found = queries.op1_substring_dedup(spark, sf_dir).collect()
