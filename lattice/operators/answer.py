@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattice.functions import prompts
+from lattice.functions.text import json_object
+from lattice.operators.model import Complete, generate
+
 
 def context_block(results: DataFrame) -> DataFrame:
     """(query_id, layer, block): a layer's items, numbered by rank, with layer and distance. results (query_id, layer, rank, distance, text); at most k rows a group."""
@@ -25,7 +29,7 @@ def model_points(reports: DataFrame, schema: str = "points array<struct<descript
     The points of the JSON object in ``output``; if there is none, or a score is
     no number, the layer is one point: the first 2000 characters of ``fallback``, score 50.
     """
-    parsed = reports.withColumn("points", F.from_json(F.regexp_extract("output", r"(?s)\{.*\}", 0), schema)["points"])
+    parsed = reports.withColumn("points", json_object(F.col("output"), schema)["points"])
     fine = F.expr("points IS NOT NULL AND forall(points, p -> p.score IS NULL OR try_cast(p.score AS double) IS NOT NULL)")
     whole = F.array(F.struct(F.left("fallback", F.lit(2000)).alias("description"), F.lit(50.0).alias("score")))
     read = F.expr("transform(points, p -> named_struct('description', coalesce(p.description, ''), 'score', coalesce(try_cast(p.score AS double), 0D)))")
@@ -33,6 +37,20 @@ def model_points(reports: DataFrame, schema: str = "points array<struct<descript
     return rows.select("query_id", "layer", (F.col("pos") + 1).alias("pos"), "p.description", "p.score")
 
 
+def ranked_by_model(results: DataFrame, questions: DataFrame, complete: Complete) -> DataFrame:
+    """Points of each layer as a model ranks them, by ``model_points``; questions (query_id, question). A layer whose answer can't be read is one point."""
+    blocks = context_block(results).join(questions.select("query_id", "question"), "query_id")
+    asked = blocks.select("query_id", "layer", F.col("block").alias("fallback"), prompts.filled(prompts.RANK, F.col("question"), F.col("block")).alias("prompt"))
+    return model_points(generate(asked, complete).select("query_id", "layer", "output", "fallback"))
+
+
+def answered_by_model(points: DataFrame, questions: DataFrame, complete: Complete) -> DataFrame:
+    """(query_id, report): the model's answer from all points; the plain report where it fails."""
+    plain = report_text(points).join(questions.select("query_id", "question"), "query_id")
+    asked = plain.select("query_id", "report", prompts.filled(prompts.ANSWER, F.col("question"), F.col("report")).alias("prompt"))
+    return generate(asked, complete).select("query_id", F.coalesce("output", "report").alias("report"))
+
+
 def report_text(points: DataFrame) -> DataFrame:
     """(query_id, report): all points, highest score first, ties in order of layer and place."""
     line = F.concat(F.lit("- [Score "), F.col("score").cast("string"), F.lit("] "), F.col("description"))

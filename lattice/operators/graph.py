@@ -64,3 +64,18 @@ def remove_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[D
     gone = gone.select("id").distinct()
     left = edges.join(gone.select(F.col("id").alias("source_id")), "source_id", "left_anti").join(gone.select(F.col("id").alias("target_id")), "target_id", "left_anti")
     return nodes.join(gone, "id", "left_anti"), left.select(*edges.columns)
+
+
+def lookup(rows: DataFrame, wanted: DataFrame, key: str = "id") -> DataFrame:
+    """The rows whose key is among those of ``wanted`` (key): the batch form of a point lookup. Missing keys give no row."""
+    return rows.join(wanted.select(key).distinct(), key, "left_semi").select(*rows.columns)
+
+
+def one(rows: DataFrame, value, key: str = "id") -> DataFrame:
+    """The row of this key, or none; the condition reaches the Parquet scan."""
+    return rows.where(F.col(key) == F.lit(value)).limit(1)
+
+
+def delete(rows: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
+    """``rows`` without those whose key is among ``gone`` (key); missing keys change nothing."""
+    return rows.join(gone.select(key).distinct(), key, "left_anti").select(*rows.columns)

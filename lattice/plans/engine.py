@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattice.functions.text import hashed_embedding, label
 from lattice.lineage import cut
 from lattice.operators import answer, graph, kg, search
 from lattice.operators.community import index_nodes
+from lattice.operators.model import Complete
 from lattice.plans.hierarchy import build_hierarchy
+from lattice.schemas import META
 from lattice.sources.corpus import read_corpus, resolve_fields
 from lattice.sources.store import SnapshotStore
 
@@ -19,11 +23,12 @@ DEFAULTS = {"chunk_size": 1200, "chunk_overlap": 100, "max_levels": 5, "similari
 class Engine:
     """Keeps its tables under ``root``; every change publishes a new version."""
 
-    def __init__(self, spark: SparkSession, root: str, **settings):
+    def __init__(self, spark: SparkSession, root: str, embed: Callable[[Column], Column] = hashed_embedding, complete: Complete | None = None, **settings):
+        """``embed`` makes the vector column of a text column; ``complete`` is a language model that ranks and words answers, if given."""
         unknown = set(settings) - set(DEFAULTS)
         if unknown:
             raise ValueError(f"unknown settings: {sorted(unknown)}")
-        self.spark, self.store, self.settings = spark, SnapshotStore(spark, root), DEFAULTS | settings
+        self.spark, self.store, self.settings, self.embed, self.complete = spark, SnapshotStore(spark, root), DEFAULTS | settings, embed, complete
 
     def index(self, corpus: str | DataFrame) -> int:
         """Build a new version from a corpus path or documents (id, title, context, text)."""
@@ -38,16 +43,51 @@ class Engine:
     def remove(self, name: str) -> bool:
         """Remove the entity of this name with its relations and vector; False if there is none."""
         tables = self.store.read()
-        if not tables:
+        if "entities" not in tables:
             return False
         gone = tables["entities"].where(F.lower("name") == name.strip().lower()).select("id")
         if gone.isEmpty():
             return False
         nodes, edges = graph.remove_nodes(tables["entities"], tables["relations"], gone)
         vectors = tables["nodes"].join(gone.withColumn("layer", F.lit(0)), ["id", "layer"], "left_anti")
-        self.store.write(tables | {"entities": nodes, "relations": edges, "nodes": vectors.select(*tables["nodes"].columns)})
+        self._write(tables | {"entities": nodes, "relations": edges, "nodes": vectors.select(*tables["nodes"].columns)})
+        return True
+
+    def remove_chunk(self, chunk_id: str) -> bool:
+        """Remove one chunk; False if there is none."""
+        tables = self.store.read()
+        if "chunks" not in tables or graph.one(tables["chunks"], chunk_id, "chunk_id").isEmpty():
+            return False
+        self._write(tables | {"chunks": tables["chunks"].where(F.col("chunk_id") != chunk_id)})
         return True
 
+    def clear(self) -> int:
+        """Publish a version without rows; earlier versions stay readable."""
+        return self._write({name: df.limit(0) for name, df in self.store.read().items()})
+
+    def get(self, table: str, value, **where) -> dict | None:
+        """The row of ``table`` (entities, chunks, communities, relations, documents, nodes) with this id, or None; ``where`` gives other columns, as layer for nodes."""
+        key = {"chunks": "chunk_id", "documents": "doc_id"}.get(table, "id")
+        tables = self.store.read()
+        if table not in tables:
+            return None
+        rows = tables[table]
+        for column, wanted in where.items():
+            rows = rows.where(F.col(column) == F.lit(wanted))
+        found = graph.one(rows, value, key).first()
+        return found.asDict() if found else None
+
+    def put_meta(self, key: str, value) -> None:
+        """Keep a note under a key, as text."""
+        tables = self.store.read()
+        new = self.spark.createDataFrame([(key, str(value))], META)
+        self._write(tables | {"meta": graph.upsert(tables["meta"], new, "key") if "meta" in tables else new})
+
+    def get_meta(self, key: str) -> str | None:
+        tables = self.store.read()
+        found = graph.one(tables["meta"], key, "key").first() if "meta" in tables else None
+        return found["value"] if found else None
+
     def search_entities(self, wanted: str) -> DataFrame:
         return search.search_entities(self.store.read()["entities"], wanted).select("id", "name", "entity_type", "description")
 
@@ -56,7 +96,7 @@ class Engine:
 
     def stats(self) -> dict[str, int]:
         tables = self.store.read()
-        if not tables:
+        if "entities" not in tables:
             return {"entities": 0, "relations": 0, "chunks": 0, "height": 0}
         height = tables["communities"].agg((F.max("level") + 1).alias("h")).first()["h"] or 0
         return {n: tables[n].count() for n in ("entities", "relations", "chunks")} | {"height": height}
@@ -64,7 +104,7 @@ class Engine:
     def results(self, question: str) -> DataFrame:
         """(query_id, layer, rank, id, distance, text) for one question, entities with their relations."""
         tables = self.store.read()
-        asked = self.spark.createDataFrame([(0, question)], "query_id long, question string").select("query_id", hashed_embedding(F.col("question")).alias("v"))
+        asked = self.spark.createDataFrame([(0, question)], "query_id long, question string").select("query_id", self.embed(F.col("question")).alias("v"))
         hits = search.hierarchical_search(asked, tables["nodes"], self.settings["k_per_layer"])
         texts = tables["entities"].select("id", label(F.col("name"), F.col("description")).alias("text"))
         zero = hits.where("layer = 0").select("id").join(texts, "id")
@@ -74,7 +114,12 @@ class Engine:
 
     def query(self, question: str) -> str:
         """The report for a question: a bounded number of hits for each layer, highest score first."""
-        found = answer.report_text(answer.layer_points(self.results(question))).first()
+        results = cut(self.results(question))
+        if self.complete is None:
+            found = answer.report_text(answer.layer_points(results)).first()
+        else:
+            asked = self.spark.createDataFrame([(0, question)], "query_id long, question string")
+            found = answer.answered_by_model(answer.ranked_by_model(results, asked, self.complete), asked, self.complete).first()
         return found["report"] if found else f"Nothing is indexed for: {question}"
 
     def _documents(self, corpus: str | DataFrame) -> DataFrame:
@@ -88,9 +133,14 @@ class Engine:
         chunks = kg.chunk_documents(docs, s["chunk_size"], s["chunk_overlap"])
         mentions = kg.extract_mentions(chunks)
         merged = kg.merge_entities(mentions)
-        entities = cut(merged.select(F.xxhash64("key").alias("id"), "key", "name", "entity_type", "description", "source_chunk_ids", "first_doc", "first_chunk", hashed_embedding(label(F.col("name"), F.col("description"))).alias("v")))
+        entities = cut(merged.select(F.xxhash64("key").alias("id"), "key", "name", "entity_type", "description", "source_chunk_ids", "first_doc", "first_chunk", self.embed(label(F.col("name"), F.col("description"))).alias("v")))
         relations = cut(kg.resolve_relations(kg.extract_relations(mentions), entities).select("id", "source_id", "target_id", F.lit("next to").alias("description")))
         nodes = entities.select("id", label(F.col("name"), F.col("description")).alias("text"), "v")
         communities, membership = build_hierarchy(nodes, relations.select("source_id", "target_id"), s["max_levels"], s["similarity_threshold"])
         index = index_nodes(entities, communities)
-        return self.store.write({"documents": docs, "chunks": chunks, "entities": entities, "relations": relations, "communities": communities, "membership": membership, "nodes": index})
+        made = {"documents": docs, "chunks": chunks, "entities": entities, "relations": relations, "communities": communities, "membership": membership, "nodes": index}
+        return self._write({n: t for n, t in self.store.read().items() if n == "meta"} | made)
+
+    def _write(self, tables: dict[str, DataFrame]) -> int:
+        """Publish; the index is partitioned by layer, so that a search of one layer reads that alone."""
+        return self.store.write(tables, {"nodes": "layer"})

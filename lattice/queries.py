@@ -410,6 +410,62 @@ def stream_ingest(spark, sf):
     return spark.read.parquet(f"{root}/out").select(parts[0].cast("long").alias("conv_id"), parts[1].cast("long").alias("turn"), "text")
 
 
+@_query(f"WITH {SQL_CHUNKS} SELECT chunk_id, doc_id, text FROM chunks WHERE chunk_no = 0 AND doc_id % 100 = 0")
+def chunk_lookup(spark, sf):
+    wanted = _t(spark, sf, "documents").where("doc_id % 100 = 0").select(fn.stable_id(F.col("doc_id").cast("string"), F.lit("0")).alias("chunk_id"))
+    return graph.lookup(_chunks(spark, sf), wanted, "chunk_id").select("chunk_id", "doc_id", "text")
+
+
+@_query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey = 42")
+def point_lookup(spark, sf):
+    return graph.one(_t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), 42)
+
+
+@_query(f"WITH {SQL_CHUNKS} SELECT chunk_id, doc_id, chunk_no FROM chunks WHERE NOT (chunk_no = 0 AND doc_id % 100 = 0)")
+def delete_chunks(spark, sf):
+    gone = _t(spark, sf, "documents").where("doc_id % 100 = 0").select(fn.stable_id(F.col("doc_id").cast("string"), F.lit("0")).alias("chunk_id"))
+    return graph.delete(_chunks(spark, sf), gone, "chunk_id").select("chunk_id", "doc_id", "chunk_no")
+
+
+@_query("""SELECT n_name AS key, CASE WHEN n_regionkey = 1 THEN 'changed' ELSE n_regionkey::VARCHAR END AS value FROM nation
+  UNION ALL SELECT r_name, 'changed' FROM region WHERE r_name NOT IN (SELECT n_name FROM nation)""")
+def upsert_meta(spark, sf):
+    n, r = _t(spark, sf, "nation"), _t(spark, sf, "region")
+    old = n.select(F.col("n_name").alias("key"), F.col("n_regionkey").cast("string").alias("value"))
+    new = n.where("n_regionkey = 1").select("n_name").unionByName(r.select(F.col("r_name").alias("n_name"))).distinct()
+    return graph.upsert(old, new.select(F.col("n_name").alias("key"), F.lit("changed").alias("value")), "key")
+
+
+@_query("""SELECT item_id AS id, md5('Question: ' || text || chr(10) || chr(10) || 'Answer it from the scored points below, the highest scores first. Say so if they don''t answer it.'
+  || chr(10) || chr(10) || 'Points:' || chr(10) || item_id::VARCHAR) AS prompt_md5 FROM benchmark""")
+def prompt_text(spark, sf):
+    from lattice.functions import prompts
+
+    b = _t(spark, sf, "benchmark")
+    return b.select(F.col("item_id").alias("id"), F.md5(prompts.filled(prompts.ANSWER, F.col("text"), F.col("item_id"))).alias("prompt_md5"))
+
+
+@_query("""SELECT doc_id AS query_id, 0 AS layer, 1 AS pos, CASE WHEN quality = 1 THEN 'q' ELSE 'toxic ' || toxic::VARCHAR END AS description, CASE WHEN quality = 1 THEN 10.5 + toxic ELSE 50.0 END::DOUBLE AS score FROM labels""")
+def model_points(spark, sf):
+    good, bad = F.format_string('Here: {"points": [{"description": "q", "score": "%s"}]} as asked', F.lit(10.5) + F.col("toxic")), F.lit('{"points": [{"description": "q", "score": "high"}]}')
+    output = F.when(F.col("quality") == 1, good).otherwise(bad)
+    rows = _t(spark, sf, "labels").select(F.col("doc_id").alias("query_id"), F.lit(0).alias("layer"), output.alias("output"), F.concat(F.lit("toxic "), F.col("toxic").cast("string")).alias("fallback"))
+    return answer.model_points(rows)
+
+
+@_query("SELECT item_id AS id, CASE WHEN item_id % 7 = 0 THEN NULL ELSE 'length ' || length(text) END AS output FROM benchmark")
+def generate_rows(spark, sf):
+    from lattice.operators.model import generate
+
+    def complete(prompts):  # fails on some prompts, and so on the batches that hold them
+        if any(p.startswith("bad") for p in prompts):
+            raise RuntimeError
+        return [f"length {len(p)}" for p in prompts]
+
+    b = _t(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.when(F.col("item_id") % 7 == 0, "bad").otherwise(F.col("text")).alias("prompt"))
+    return generate(b, complete).select("id", "output")
+
+
 @_query(None)
 def hierarchy(spark, sf):
     from lattice.plans.hierarchy import build_hierarchy

@@ -1,11 +1,4 @@
 """Fixed schemas of the tables that the library reads and writes."""
 
-from pyspark.sql import types as T
-
 DOCUMENT = "id string, title string, context string, text string"
-CHUNK = "chunk_id string, doc_id long, chunk_no int, start int, text string"
-ENTITY = "id string, name string, entity_type string, description string, source_chunk_ids array<string>, embedding array<double>"
-RELATION = "id string, source_id string, target_id string, description string"
-COMMUNITY = "id string, level int, member_ids array<string>, summary string, parent_id string"
-VECTOR = "layer int, id string, v array<double>"
-POINTS = T.StructType([T.StructField("points", T.ArrayType(T.StructType([T.StructField("description", T.StringType()), T.StructField("score", T.StringType())])))])
+META = "key string, value string"

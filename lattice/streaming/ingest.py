@@ -1,10 +1,15 @@
-"""Ingestion: documents land as JSON lines and are added in micro-batches, exactly once by checkpoint."""
+"""Ingestion: documents land as JSON lines and are added in micro-batches, exactly once by checkpoint.
+
+The landing folder is the queue: enqueueing writes files there, a running stream
+takes each file once, one batch at a time, and what its log doesn't name yet is pending.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lattice.schemas import DOCUMENT
@@ -27,3 +32,34 @@ def status(query: StreamingQuery) -> str:
     if not query.isActive:
         return "done"
     return "running" if query.status["isTriggerActive"] else "idle"
+
+
+def enqueue(docs: DataFrame, landing: str) -> None:
+    """Write documents (id, title, context, text, as far as they have them) into the landing folder; files appear there whole."""
+    docs.write.mode("append").json(landing)
+
+
+def pending(spark: SparkSession, landing: str, checkpoint: str) -> int:
+    """How many documents wait: those in landed files that no finished batch has taken."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    here = hadoop.Path(landing)
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(here):
+        return 0
+    landed = [f.getPath() for f in fs.listStatus(here) if f.isFile() and f.getPath().getName()[0] not in "._"]
+    done = set()
+    logs, commits = hadoop.Path(f"{checkpoint}/sources/0"), hadoop.Path(f"{checkpoint}/commits")
+    store = logs.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(logs) and store.exists(commits):
+        finished = {f.getPath().getName() for f in store.listStatus(commits)}
+        entries = spark.read.text(f"{checkpoint}/sources/0").select(F.from_json("value", "path string, batchId long").alias("e")).where("e.path IS NOT NULL").select("e.*")
+        done = {r.path.rpartition("/")[2] for r in entries.collect() if str(r.batchId) in finished}  # a line for each landed file
+    rest = [p.toString() for p in landed if p.getName() not in done]
+    return spark.read.schema(DOCUMENT).option("mode", "DROPMALFORMED").json(rest).count() if rest else 0
+
+
+def shutdown(query: StreamingQuery) -> None:
+    """Add what has landed, then stop."""
+    if query.isActive:
+        query.processAllAvailable()
+        query.stop()

@@ -5,7 +5,7 @@ import pytest
 from lattice.config import load_config
 from lattice.plans.engine import Engine
 from lattice.sources.store import SnapshotStore
-from lattice.streaming.ingest import ingest, status
+from lattice.streaming.ingest import enqueue, ingest, pending, shutdown, status
 
 TEXTS = ["Ada Lovelace wrote to Charles Babbage.", "Charles Babbage built the Analytical Engine.", "Grace Hopper worked with Howard Aiken in Cambridge."]
 
@@ -33,6 +33,40 @@ def test_index_query_add_remove(spark, tmp_path):
     assert engine.search_entities("babbage").count() == 0
 
 
+def test_lookups_notes_and_clearing(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/store", chunk_size=500, chunk_overlap=50, max_levels=1, k_per_layer=3)
+    assert engine.get("chunks", "x") is None and engine.get_meta("note") is None and not engine.remove_chunk("x")
+    engine.index(corpus(tmp_path / "a.jsonl", TEXTS[:2]))
+    engine.put_meta("note", 1)
+    engine.put_meta("note", 2)
+    engine.put_meta("other", "x")
+    assert engine.get_meta("note") == "2" and engine.get_meta("nothing") is None
+    chunk = engine.search_chunks("analytical").first()["chunk_id"]
+    assert engine.get("chunks", chunk)["chunk_id"] == chunk and engine.get("entities", -1) is None
+    entity = engine.store.read()["entities"].first()
+    assert engine.get("entities", entity["id"])["name"] == entity["name"] and engine.get("nodes", entity["id"], layer=0)["layer"] == 0
+    assert engine.remove_chunk(chunk) and not engine.remove_chunk(chunk) and engine.stats()["chunks"] == 1
+    assert engine.get_meta("other") == "x"
+    engine.clear()
+    assert engine.stats() == {"entities": 0, "relations": 0, "chunks": 0, "height": 0} and engine.get_meta("note") is None
+
+
+def test_a_model_words_the_answer(spark, tmp_path):
+    def complete(prompts):
+        if len(prompts) > 1:
+            raise RuntimeError("one at a time")
+        if "JSON" in prompts[0]:
+            return ['{"points": [{"description": "seen by the model", "score": 99}]}']
+        return ["worded: " + prompts[0].split("Points:")[1].strip()]
+
+    path = corpus(tmp_path / "a.jsonl", TEXTS)
+    engine = Engine(spark, f"file://{tmp_path}/store", complete=complete, chunk_size=500, chunk_overlap=50, max_levels=1, k_per_layer=3)
+    engine.index(path)
+    assert engine.query("Charles Babbage").startswith("worded: - [Score 99.0] seen by the model")
+    broken = Engine(spark, f"file://{tmp_path}/store", complete=lambda prompts: 1 / 0, k_per_layer=3)
+    assert broken.query("Charles Babbage").startswith("- [Score 50.0]")
+
+
 def test_an_entity_keeps_all_of_its_mentions(spark, tmp_path):
     engine = Engine(spark, f"file://{tmp_path}/store", chunk_size=500, chunk_overlap=50, max_levels=1, k_per_layer=3)
     engine.index(corpus(tmp_path / "a.jsonl", [f"Babbage {c}{d}xyz." for c in "ABCDEFGHIJKL" for d in "abcdefghij"]))
@@ -67,6 +101,19 @@ def test_stream_adds_each_file_once(spark, tmp_path):
     assert sorted(seen) == sorted(TEXTS)
 
 
+def test_what_is_enqueued_is_pending_until_added(spark, tmp_path):
+    landing, checkpoint, seen = f"file://{tmp_path}/landing", f"file://{tmp_path}/checkpoint", []
+    assert pending(spark, landing, checkpoint) == 0
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(TEXTS)], "id string, text string")
+    enqueue(rows, landing)
+    assert pending(spark, landing, checkpoint) == 3
+    query = ingest(spark, landing, checkpoint, lambda batch, k: seen.extend(r.text for r in batch.collect()), every="0 seconds")
+    shutdown(query)
+    assert not query.isActive and sorted(seen) == sorted(TEXTS) and pending(spark, landing, checkpoint) == 0
+    enqueue(rows.limit(1), landing)
+    assert pending(spark, landing, checkpoint) == 1
+
+
 def test_settings(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"indexing": {"chunk_size": 7, "other": 1}, "k_per_layer": 2}))
     assert load_config(str(tmp_path / "c.json")) == {"chunk_size": 7, "k_per_layer": 2}
