@@ -26,9 +26,21 @@ _KEEPING = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{
 _DROPPING = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+""")
 #: Byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for the characters from 256 on, in order.
 _OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_KEEPS = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
+_DROPS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _DROPPING.pattern}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+)
 _BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _OWN)}
 
 
+def space_parts(text: str) -> list[str]:
+    """``text`` cut before each space that follows something other than white space; the chunks after the first go without that space."""
+    if "  " in text or text[-1] == " " or "\n " in text or any(x in text for x in ("\t ", "\r ", "\v ", "\f ")) or not text.isascii() and _ODD_SPACE.search(text):
+        return [x[1:] if i else x for i, x in enumerate(_CUT.split(text))]
+    return text.split(" ")
+
+
 class _Codes(dict):
     """Chunk -> number; new chunks get the next number and wait in ``fresh``."""
 
@@ -50,8 +62,10 @@ class Encoder:
 
     A byte-level tokenizer's pre-tokens never hold a space after a character
     that isn't white space, so a text may be cut before such spaces. A tokenizer
-    that drops white space allows a cut at any space. Strings of special tokens
-    in a text are ordinary text. ``most`` bounds the chunks kept.
+    that drops white space allows a cut at any space. Texts go whole to a
+    tokenizer of any other make (normalizer, pre-tokenizer or special tokens that
+    take in spaces). Strings of special tokens in a text become their ids, as the
+    library does by itself. ``most`` bounds the chunks kept.
     """
 
     def __init__(self, file: str, end: int, most: int = 800_000):
@@ -60,11 +74,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
         self.vocab = self.tokenizer.get_vocab_size()
-        self.keeps_space = bool(self.tokenizer.encode("a b").ids != self.tokenizer.encode("a  b").ids)
         stages = json.loads(self.tokenizer.to_str())
-        self.is_usual = any(x in json.dumps(stages["pre_tokenizer"]) for x in (json.dumps(_DROPPING.pattern)[1:-1], '{"type": "ByteLevel", "add_prefix_space": false, "trim_offsets": true, "use_regex": true}'))
+        make, added = (stages["normalizer"], stages["pre_tokenizer"]), stages["added_tokens"]
+        simple = not any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] or re.search(r"\s", x["content"]) for x in added)
+        self.keeps_space = make == _KEEPS
+        self.is_usual = simple and make in (_KEEPS, _DROPS) and not stages["model"].get("ignore_merges") and not stages["model"].get("dropout")
+        self.special = re.compile("|".join(re.escape(x["content"]) for x in added) or r"(?!)").search
         self.end, self.most = end, most
         self._clear()
 
@@ -75,12 +91,13 @@ class Encoder:
 
     def _add(self, text: str, flat: list[int]) -> None:
         """Append the numbers of the text's chunks."""
+        if not self.is_usual:
+            flat.append(self.first[text])
+            return
         if not self.keeps_space:
             flat.extend(map(self.later.__getitem__, text.replace("\n", " ").split(" ")))
             return
-        parts = text.split(" ")
-        if "  " in text or text[-1] == " " or "\n " in text or any(x in text for x in ("\t ", "\r ", "\v ", "\f ")) or not text.isascii() and _ODD_SPACE.search(text):
-            parts = [x[1:] if i else x for i, x in enumerate(_CUT.split(text))]
+        parts = space_parts(text)
         flat.append(self.first[parts[0]])
         flat.extend(map(self.later.__getitem__, parts[1:]))
 
@@ -93,7 +110,7 @@ class Encoder:
         pattern, lower = (_KEEPING, False) if self.keeps_space else (_DROPPING, True)
         plain = _PLAIN.fullmatch
         for i, chunk in enumerate(chunks):
-            if not self.is_usual or not plain(chunk):
+            if not self.is_usual or not plain(chunk) or self.special(chunk):
                 rest.append(i)
                 continue
             ids = out[i] = []
