@@ -77,6 +77,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattice.llm.periodic_runs import run_digests
+
+    return run_digests(table(spark, sf_dir, "documents"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -103,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op10_line_dedup": op10_line_dedup,
         "op9_token_files": op9_token_files,
+        "op11_periodic_runs": op11_periodic_runs,
         "op13_byte_bpe": op13_byte_bpe,
         "pipeline": pipeline,
     }
