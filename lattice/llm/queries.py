@@ -83,6 +83,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattice.llm.whitening import whitened_rows
+
+    return whitened_rows(table(spark, sf_dir, "embeddings"), top=16)
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -110,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_line_dedup": op10_line_dedup,
         "op9_token_files": op9_token_files,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_embedding_whitening": op12_embedding_whitening,
         "op13_byte_bpe": op13_byte_bpe,
         "pipeline": pipeline,
     }
