@@ -43,7 +43,7 @@ from lattice.llm.tokens import space_parts
 #: Bytes of the longest word in the broadcast table.
 LONGEST = 64
 #: Characters of text that are encoded together, and words that are counted together.
-_BLOCK, _COUNTED = 4_000_000, 400_000
+_BLOCK, _COUNTED = 2_000_000, 300_000
 #: The key of a pair of ids holds the second one in so many bits.
 _SHIFT, _MASK = 24, (1 << 24) - 1
 
@@ -71,7 +71,7 @@ class _Pairs(dict):
         self.of, self.tokens = ranks.of, ranks.tokens
 
     def __missing__(self, key: int) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         rank = self[key] = self.of.get(self.tokens[key >> _SHIFT] + self.tokens[key & _MASK], -1)
         return rank
@@ -183,7 +183,7 @@ def replay(words: list[bytes], ranks: Ranks) -> list[list[int]]:
 
 
 def _counted(docs: DataFrame, pattern: str) -> DataFrame:
-    """(word, n) of all documents; a row for each word and block, to be summed."""
+    """(word, n) of all documents; a row for each word and block, to be summed. Words of chunks that a block holds but once can't be common and are left out."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, first, later = regex.compile(pattern).findall, Counter(), Counter()
@@ -192,8 +192,9 @@ def _counted(docs: DataFrame, pattern: str) -> DataFrame:
             words: Counter = Counter()
             for lead, seen in (("", first), (" ", later)):
                 for chunk, n in seen.items():
-                    for word in cut(lead + chunk):
-                        words[word] += n
+                    if n > 1:
+                        for word in cut(lead + chunk):
+                            words[word] += n
                 seen.clear()
             short = [(w, n) for w, n in ((w.encode(), n) for w, n in words.items()) if len(w) <= LONGEST]
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in short], pa.binary()), pa.array([n for _, n in short], pa.int64())], ["word", "n"])
@@ -225,7 +226,7 @@ def word_ids(docs: DataFrame, ranks_file: str, pattern: str, most: int = 1 << 17
 class _Blocks:
     """Ids of blocks of texts. Chunks (a word or a few, cut before spaces) that were met before keep their ids, up to ``most`` of them."""
 
-    def __init__(self, ranks: Ranks, pattern: str, known: dict[bytes, array], most: int = 500_000):
+    def __init__(self, ranks: Ranks, pattern: str, known: dict[bytes, array], most: int = 200_000):
         self.ranks, self.cut, self.known, self.most = ranks, regex.compile(pattern).findall, known, most
         self._clear()
 

@@ -84,7 +84,7 @@ def test_a_small_word_table_changes_nothing(spark, library):
         rows = decode(encode(docs, FILE, PATTERN, most=most), FILE).collect()
         for x in rows:
             assert np.frombuffer(x.ids, "<u4").tolist() == library.encode_ordinary(x.text or "") and bytes(x.decoded) == (x.text or "").encode() and x.extra == 7
-    assert word_ids(docs, FILE, PATTERN, 5).count() == 5
+    assert word_ids(docs.unionByName(docs).coalesce(1), FILE, PATTERN, 5).count() == 5
     assert encode(docs, FILE, PATTERN, out="extra").columns == ["doc_id", "text", "extra"]
 
 
