@@ -27,7 +27,7 @@ from __future__ import annotations
 import base64
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
 
@@ -43,7 +43,9 @@ from lattice.llm.tokens import space_parts
 #: Bytes of the longest word in the broadcast table.
 LONGEST = 64
 #: Characters of text that are encoded together, and words that are counted together.
-_BLOCK, _COUNTED = 2_000_000, 300_000
+_BLOCK, _COUNTED = 12_000_000, 300_000
+#: Positions of a pair that are merged one by one, as that many are no work for arrays.
+_FEW = 48
 #: The key of a pair of ids holds the second one in so many bits.
 _SHIFT, _MASK = 24, (1 << 24) - 1
 
@@ -84,33 +86,36 @@ def ranks_of(file: str) -> Ranks:
 
 
 class _Laid:
-    """Words laid out one after another: the token at each position, its neighbours within the word, and the rank of the pair that starts there (-1: none)."""
+    """Words laid out one after another: the token at each position, its neighbours within the word, and the rank of the pair that starts there (-1: none).
+
+    The index has the positions of each rank's pairs, as arrays from steps with many of them and as numbers from steps with few.
+    """
 
     def __init__(self, words: list[bytes], ranks: Ranks):
         sizes = np.array([len(w) for w in words], np.int64)
         raw, self.ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes)
         n = len(raw)
-        self.pairs, self.token, self.word = ranks.pairs, ranks.byte[raw], np.repeat(np.arange(len(sizes)), sizes)
-        self.right, self.before, self.rank = np.arange(1, n + 1), np.arange(-1, n - 1), np.full(n, -1, np.int32)
+        self.pairs, self.token, self.word = ranks.pairs, ranks.byte[raw], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.right, self.before, self.rank = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32), np.full(n, -1, np.int32)
         self.right[self.ends - 1] = self.before[self.ends - sizes] = -1
         self.rank[:-1] = ranks.first[raw[:-1], raw[1:]]
         self.rank[self.ends - 1] = -1
-        self.index: dict[int, list[np.ndarray]] = {}
+        self.many: dict[int, list[np.ndarray]] = {}
+        self.few: dict[int, list[int]] = {}
         self.due: list[int] = []
-        self._enter(np.arange(n), self.rank)
+        self._enter(np.arange(n, dtype=np.int32), self.rank)
 
     def _enter(self, at: np.ndarray, rank: np.ndarray) -> None:
         """Put the pairs that start ``at`` into the index, those with a rank."""
-        at, rank = at[rank >= 0], rank[rank >= 0]
-        order = np.argsort(rank, kind="stable")
-        at, rank = at[order], rank[order]
-        cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
-        for r, i, j in zip(rank[np.concatenate([[0], cuts])].tolist() if len(rank) else [], [0, *cuts.tolist()], [*cuts.tolist(), len(rank)]):
-            if r in self.index:
-                self.index[r].append(at[i:j])
-            else:
-                self.index[r] = [at[i:j]]
+        some = np.flatnonzero(rank >= 0)
+        some = some[np.argsort(rank[some], kind="stable")]
+        at, rank = at[some], rank[some]
+        cuts = (np.flatnonzero(rank[1:] != rank[:-1]) + 1).tolist()
+        for i, j in zip([0, *cuts] if len(rank) else [], [*cuts, len(rank)]):
+            r = int(rank[i])
+            if r not in self.many and r not in self.few:
                 heappush(self.due, r)
+            self.many.setdefault(r, []).append(at[i:j])
 
     def _ranks(self, others: np.ndarray, made: int, left: bool) -> np.ndarray:
         """Ranks of the pairs of ``others`` with ``made``, the others to its left or right."""
@@ -130,42 +135,54 @@ class _Laid:
             self.rank[where] = self._ranks(others, made, left)
             self._enter(where, self.rank[where])
 
-    def _merge_in_turn(self, at: np.ndarray, made: int) -> None:
-        """Merge the pairs that start ``at`` from the left; what follows a pair of a lower rank in its word waits in the index."""
-        token, right, before, rank, waiting = self.token, self.right, self.before, self.rank, -1
-        new, again = [], []
-        for i, w in zip(at.tolist(), self.word[at].tolist()):
+    def _merge_in_turn(self, at: list[int], made: int) -> None:
+        """Merge the pairs that start ``at``, from the left; what follows a pair of a lower rank in its word goes back to the index."""
+        token, right, before, rank, pairs, word, waiting = self.token, self.right, self.before, self.rank, self.pairs, self.word, -1
+        for i in at:
             if rank[i] != made:
-                continue  # took part in the merge before
-            if w == waiting:
-                again.append(i)
+                continue  # a neighbour has changed since
+            if waiting >= 0 and word[i] == waiting:
+                self._enter_one(i, made)
                 continue
-            j = int(right[i])
+            j = right[i]
             k, h = int(right[j]), int(before[i])
             token[i], token[j], rank[j], rank[i], right[i] = made, -1, -1, -1, k
+            low = made
             if k >= 0:
                 before[k] = i
-                rank[i] = self.pairs[made << _SHIFT | int(token[k])]
-                new.append(i)
+                if (new := pairs[made << _SHIFT | int(token[k])]) >= 0:
+                    rank[i] = new
+                    self._enter_one(i, new)
+                    low = min(low, new)
             if h >= 0:
-                rank[h] = self.pairs[int(token[h]) << _SHIFT | made]
-                new.append(h)
-            if any(0 <= rank[x] < made for x in new[-2:] if x in (i, h)):
-                waiting = w
-        new = np.unique(np.array([*new, *again], np.int64))
-        self._enter(new, self.rank[new])
+                rank[h] = new = pairs[int(token[h]) << _SHIFT | made]
+                if new >= 0:
+                    self._enter_one(h, new)
+                    low = min(low, new)
+            if low < made:
+                waiting = word[i]
+
+    def _enter_one(self, at: int, rank: int) -> None:
+        if rank not in self.many and rank not in self.few:
+            heappush(self.due, rank)
+        self.few.setdefault(rank, []).append(at)
 
     def run(self) -> None:
         while self.due:
             made = heappop(self.due)
-            at = np.unique(np.concatenate(self.index.pop(made)))
-            at = at[self.rank[at] == made]  # else a neighbour has changed since
+            many, few = self.many.pop(made, []), self.few.pop(made, [])
+            if len(few) + sum(map(len, many)) <= _FEW:
+                self._merge_in_turn(sorted({*few, *(i for x in many for i in x.tolist())}), made)
+                continue
+            at = np.unique(np.concatenate([*many, np.array(few, np.int32)]))
+            at = at[self.rank[at] == made]
             same = np.zeros(len(at) + 1, bool)
             same[1:-1] = self.word[at[1:]] == self.word[at[:-1]]
             several = same[1:] | same[:-1]
             if several.any():
-                self._merge_in_turn(at[several], made)
-            self._merge_all(at[~several], made)
+                self._merge_in_turn(at[several].tolist(), made)
+                at = at[~several]
+            self._merge_all(at, made)
 
 
 def replay(words: list[bytes], ranks: Ranks) -> list[list[int]]:
@@ -224,10 +241,15 @@ def word_ids(docs: DataFrame, ranks_file: str, pattern: str, most: int = 1 << 17
 
 
 class _Blocks:
-    """Ids of blocks of texts. Chunks (a word or a few, cut before spaces) that were met before keep their ids, up to ``most`` of them."""
+    """Ids of blocks of texts. Chunks (a word or a few, cut before spaces) that were met before keep their ids, up to ``most`` of them.
 
-    def __init__(self, ranks: Ranks, pattern: str, known: dict[bytes, array], most: int = 200_000):
-        self.ranks, self.cut, self.known, self.most = ranks, regex.compile(pattern).findall, known, most
+    ``known`` holds words, their ids one after another, and how many each has.
+    """
+
+    def __init__(self, ranks: Ranks, pattern: str, known: tuple[list[bytes], np.ndarray, np.ndarray], most: int = 200_000):
+        words, ids, sizes = known
+        self.ranks, self.cut, self.most = ranks, regex.compile(pattern).findall, most
+        self.known, self.known_ids, self.known_ends = {w: k for k, w in enumerate(words)}, array("i", ids.tobytes()), [0, *np.cumsum(sizes).tolist()]
         self._clear()
 
     def _clear(self) -> None:
@@ -238,12 +260,14 @@ class _Blocks:
     def _learn(self, chunks: list[str]) -> None:
         """Append the ids of ``chunks``; all their words that are not known yet are replayed together."""
         cut = [[w.encode() for w in self.cut(chunk)] for chunk in chunks]
-        fresh = list({w for words in cut for w in words if w not in self.known})
+        known, ids, own, ends = self.known, self.ids, self.known_ids, self.known_ends
+        fresh = list({w for words in cut for w in words if w not in known})
         new = dict(zip(fresh, replay(fresh, self.ranks)))
         for words in cut:
             for w in words:
-                self.ids.extend(self.known.get(w) or new[w])
-            self.ends.append(len(self.ids))
+                k = known.get(w)
+                ids.extend(new[w] if k is None else own[ends[k] : ends[k + 1]])
+            self.ends.append(len(ids))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -274,48 +298,60 @@ class _Blocks:
         return [whole[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]
 
 
-def _blocks(column: pa.Array) -> Iterator[pa.Array]:
-    """Slices of ``column`` of about ``_BLOCK`` bytes, a value each at least."""
-    step = max(1, int(len(column) * _BLOCK / max(1, column.nbytes)))
-    for i in range(0, len(column), step):
-        yield column.slice(i, step)
-
+def _mapped(df: DataFrame, steps: list[tuple[str, str, Callable]], keep: list[str] | None = None) -> DataFrame:
+    """``df`` with a binary column for each step (source column, new column, maker of a function from values to values).
 
-def _mapped(df: DataFrame, source: str, out: str, work) -> DataFrame:
-    """``df`` with the binary column ``out`` made by ``work`` from blocks of column ``source``."""
-    df = df.drop(out)
-    where = df.columns.index(source)
+    All steps of a block of rows are taken in one task. ``keep`` names the columns of the result, all by default.
+    """
+    names = [c for c in df.columns if c not in [out for _, out, _ in steps]]
+    df = df.select(*[f"`{c}`" for c in names])
+    schema = StructType([*df.schema, *[StructField(out, BinaryType()) for _, out, _ in steps]])
+    kept = schema.fieldNames() if keep is None else keep
+    first = names.index(steps[0][0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = work()
+        made = [(source, out, make()) for source, out, make in steps]
         for batch in batches:
-            made = [x for part in _blocks(batch.column(where)) for x in make(part.to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, out])
+            size = max(1, int(batch.num_rows * _BLOCK / max(1, batch.column(first).nbytes)))
+            for i in range(0, batch.num_rows, size):
+                part = batch.slice(i, size)
+                columns = dict(zip(names, part.columns))
+                for source, out, work in made:
+                    columns[out] = pa.array(work(columns[source].to_pylist()), pa.binary())
+                yield pa.RecordBatch.from_arrays([columns[c] for c in kept], kept)
 
-    return df.mapInArrow(run, StructType([*df.schema, StructField(out, BinaryType())]))
+    return df.mapInArrow(run, StructType([schema[c] for c in kept]))
+
+
+def _encoding(docs: DataFrame, ranks_file: str, pattern: str, most: int) -> Callable:
+    """What a task encodes texts with: the ids of the commonest words of ``docs`` are broadcast, at most ``most`` of ``LONGEST`` bytes."""
+    table = word_ids(docs, ranks_file, pattern, most).toArrow()
+    words, ids = table.column("word").to_pylist(), table.column("ids").combine_chunks()
+    known = docs.sparkSession.sparkContext.broadcast((words, ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), ids.value_lengths().to_numpy(zero_copy_only=False)))
+    return lambda: _Blocks(ranks_of(ranks_file), pattern, known.value).encode
+
+
+def _decoding(ranks_file: str) -> Callable:
+    def make():
+        tokens = ranks_of(ranks_file).tokens
+        return lambda column: [b"".join(map(tokens.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in column]
+
+    return make
 
 
 def encode(docs: DataFrame, ranks_file: str, pattern: str, out: str = "ids", most: int = 1 << 17) -> DataFrame:
     """``docs`` with column ``out``: the ids of ``text`` as little-endian unsigned 32-bit integers, no special tokens."""
-    table = word_ids(docs, ranks_file, pattern, most).toArrow()  # ``most`` words at most
-    table = dict(zip(table.column("word").to_pylist(), (array("i", x) for x in table.column("ids").to_pylist())))
-    known = docs.sparkSession.sparkContext.broadcast(table)
     typed = docs.withColumn("text", F.col("text").cast("string"))
-    return _mapped(typed, "text", out, lambda: _Blocks(ranks_of(ranks_file), pattern, known.value).encode)
+    return _mapped(typed, [("text", out, _encoding(typed, ranks_file, pattern, most))])
 
 
 def decode(encoded: DataFrame, ranks_file: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``encoded`` with column ``out``: the bytes that the ids in column ``ids`` stand for; null ids give no bytes."""
-
-    def work():
-        tokens = ranks_of(ranks_file).tokens
-        return lambda column: [b"".join(map(tokens.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in column]
-
-    return _mapped(encoded, ids, out, work)
+    return _mapped(encoded, [(ids, out, _decoding(ranks_file))])
 
 
 def bpe_digests(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    done = decode(encode(rows, ranks_file, pattern).select("doc_id", "ids"), ranks_file)
+    done = _mapped(rows, [("text", "ids", _encoding(rows, ranks_file, pattern, 1 << 17)), ("ids", "decoded", _decoding(ranks_file))], ["doc_id", "ids", "decoded"])
     return done.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
