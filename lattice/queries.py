@@ -466,6 +466,94 @@ def generate_rows(spark, sf):
     return generate(b, complete).select("id", "output")
 
 
+# growing stores, models and embeddings ------------------------------------------------
+
+SQL_BATCHES = """docs AS (SELECT doc_id, text, 1 AS batch FROM documents UNION ALL SELECT 1000000000 + item_id, text, 2 FROM benchmark),
+  chunks AS (SELECT substr(sha256(doc_id::VARCHAR || chr(31) || k::VARCHAR), 1, 12) AS chunk_id, batch, doc_id, k::INT AS chunk_no, substring(text, k * 1100 + 1, 1200) AS text
+    FROM (SELECT batch, doc_id, text, unnest(range(0, (length(text) + 1099) // 1100)) AS k FROM docs WHERE length(text) > 0)),
+  named AS (SELECT batch, doc_id, chunk_no, chunk_id, regexp_extract_all(text, '[A-Z][a-z]{3,}') AS names FROM chunks),
+  mentions AS (SELECT batch, doc_id, chunk_no, chunk_id, pos, names[pos + 1] AS name, lower(names[pos + 1]) AS key, coalesce(names[pos + 2], '') AS description FROM (SELECT *, unnest(range(len(names))) AS pos FROM named)),
+  live AS (SELECT * FROM mentions WHERE NOT (batch = 1 AND md5(key)[1] = '0')),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY batch, doc_id, chunk_no, pos) AS k FROM live)"""
+
+
+@_query(f"""WITH {SQL_BATCHES} SELECT key, min(name) FILTER (k = 1) AS name, count(*) AS n_mentions, md5(string_agg(CASE WHEN k = 1 THEN description WHEN description <> '' THEN ' ' || description ELSE '' END, '' ORDER BY k)) AS description_md5,
+  md5(string_agg(chunk_id, ',' ORDER BY k)) AS chunks_md5, min(batch) AS first_batch, min(doc_id) FILTER (k = 1) AS first_doc, max(batch) AS last_batch FROM placed GROUP BY key""")
+def incremental_entities(spark, sf):
+    """Documents as one batch, some of whose names are removed; then the benchmark joins as a second batch, by merging partials."""
+    items = _t(spark, sf, "benchmark").select((F.lit(1000000000) + F.col("item_id")).alias("doc_id"), "text")
+    old = kg.partial_entities(_mentions(spark, sf).withColumn("batch", F.lit(1).cast("long")))
+    gone = old.where("substring(md5(key), 1, 1) = '0'").select("key", F.lit(1).cast("long").alias("batch"))
+    new = kg.partial_entities(kg.extract_mentions(kg.chunk_documents(items)).withColumn("batch", F.lit(2).cast("long")))
+    merged = kg.merge_partials(kg.outlived(old, gone, "key", "last_batch"), new)
+    return merged.select("key", "name", "n_mentions", F.md5("description").alias("description_md5"), F.md5(F.array_join("source_chunk_ids", ",")).alias("chunks_md5"), "first_batch", "first_doc", "last_batch")
+
+
+@_query(f"""WITH {SQL_MENTIONS}, some AS (SELECT m.* FROM mentions m JOIN chunks USING (chunk_id) WHERE length(text) % 7 <> 0)
+  SELECT 'entity' AS kind, doc_id, chunk_no, pos, name AS a, description AS b FROM some
+  UNION ALL SELECT 'relation', doc_id, chunk_no, pos, name, description FROM some WHERE description <> ''""")
+def model_extraction(spark, sf):
+    """A scripted model lists what each chunk names, in JSON with words around it, and says nothing of use about every seventh length."""
+    import re
+    import uuid
+
+    from lattice.functions import prompts
+    from lattice.operators.model import AnswerCache
+
+    def complete(asked):
+        import json
+
+        out = []
+        for prompt in asked:
+            text = prompt.partition("Text:\n")[2]
+            names = re.findall("[A-Z][a-z]{3,}", text)
+            pairs = list(zip(names, [*names[1:], ""]))
+            found = {"entities": [{"name": a, "type": "Term", "description": b} for a, b in pairs], "relations": [{"source": a, "target": b, "description": "next to"} for a, b in pairs if b]}
+            out.append("no idea" if len(text) % 7 == 0 else f"Here it is: {json.dumps(found)} as asked")
+        return out
+
+    chunks = _chunks(spark, sf)
+    cache = AnswerCache(f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}", complete, "scripted", batch=256)
+    asked = chunks.select("doc_id", "chunk_no", "chunk_id", prompts.filled(prompts.EXTRACT, F.col("text")).alias("prompt"))
+    mentions, relations = kg.parse_extraction(cache.ask(asked))
+    one = mentions.select(F.lit("entity").alias("kind"), "doc_id", "chunk_no", "pos", F.col("name").alias("a"), F.col("description").alias("b"))
+    return one.unionByName(relations.select(F.lit("relation").alias("kind"), "doc_id", "chunk_no", "pos", F.col("source").alias("a"), F.col("target").alias("b")))
+
+
+@_query("""SELECT doc_id, d[1] AS d1, d[2] AS d2, d[3] AS d3 FROM (SELECT doc_id, [length(t)::DOUBLE, (length(t) - length(replace(t, 'e', '')))::DOUBLE, (length(t) - length(replace(t, ' ', '')))::DOUBLE] AS d FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))""")
+def batch_embedding(spark, sf):
+    """A scripted embedding of three dimensions, asked once for each distinct text; half of the sources have theirs from a run before."""
+    from lattice.operators.embedding import Embedding
+
+    counts = Embedding(3, batch=lambda texts: [[len(t), t.count("e"), t.count(" ")] for t in texts], name="counts")
+    docs = _t(spark, sf, "documents").select("doc_id", "source", "text")
+    _, known = counts.embed(docs.where("xxhash64(source) % 2 = 0"), F.col("text"))
+    rows, _ = counts.embed(docs, F.col("text"), known)
+    return rows.select("doc_id", *[F.col("v")[k].alias(f"d{k + 1}") for k in range(3)])
+
+
+@_query("""SELECT coalesce(source, 'none') AS source, count(*) AS n FROM (SELECT source FROM documents UNION ALL SELECT 'benchmark' FROM benchmark) GROUP BY 1""")
+def conflicting_writers(spark, sf):
+    """A writer counts documents by source while another one adds the benchmark: its commit is refused, and made anew on what is there then."""
+    import uuid
+
+    from lattice.sources.store import Append, SnapshotStore
+
+    store = SnapshotStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    store.write({"rows": _t(spark, sf, "documents").select(F.coalesce("source", F.lit("none")).alias("source"))})
+    tries = []
+
+    def count(tables):
+        counts = tables["rows"].groupBy("source").agg(F.count("*").alias("n"))
+        if not tries:
+            store.commit({"rows": Append(_t(spark, sf, "benchmark").select(F.lit("benchmark").alias("source")))})
+        tries.append(tables.version)
+        return {"counts": counts}
+
+    store.update(count)
+    return store.read()["counts"]
+
+
 @_query(None)
 def hierarchy(spark, sf):
     from lattice.plans.hierarchy import build_hierarchy

@@ -2,3 +2,4 @@
 
 DOCUMENT = "id string, title string, context string, text string"
 META = "key string, value string"
+TOMBSTONE = "kind string, key string, batch long"

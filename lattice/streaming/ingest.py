@@ -6,13 +6,16 @@ takes each file once, one batch at a time, and what its log doesn't name yet is
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lattice.plans.engine import Engine
 from lattice.schemas import DOCUMENT
+from lattice.sources.store import Lease
 
 
 def document_stream(spark: SparkSession, landing: str, files_per_batch: int = 1000) -> DataFrame:
@@ -63,3 +66,39 @@ def shutdown(query: StreamingQuery) -> None:
     if query.isActive:
         query.processAllAvailable()
         query.stop()
+
+
+def reindex(engine: Engine, landing: str, checkpoint: str, seconds: float = 3600.0, background: bool = True) -> bool:
+    """Add what has landed, in a thread of its own; False, and nothing started, while another reindex of this store runs anywhere.
+
+    ``reindex_state`` tells how the latest one stands or ended. One whose holder died can be started again after ``seconds``.
+    """
+    lease = Lease(engine.store, "reindex", seconds)
+    if not lease.start():
+        return False
+    waiting = pending(engine.spark, landing, checkpoint)
+
+    def add(batch: DataFrame, _: int) -> None:
+        lease.renew()
+        if not batch.isEmpty():
+            engine.add(batch)
+
+    def work() -> None:
+        try:
+            ingest(engine.spark, landing, checkpoint, add, every=None).awaitTermination()
+            lease.finish("done", f"{waiting} documents, now " + ", ".join(f"{n} {k}" for k, n in engine.stats().items()))
+        except Exception as e:
+            lease.finish("error", str(e)[:1000])
+            if not background:
+                raise
+
+    if background:
+        threading.Thread(target=work, name="reindex", daemon=True).start()
+    else:
+        work()
+    return True
+
+
+def reindex_state(engine: Engine) -> dict:
+    """state (idle, running, done, error or lost) and message of the latest reindex of this store."""
+    return Lease(engine.store, "reindex").state()
