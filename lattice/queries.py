@@ -489,9 +489,9 @@ def incremental_entities(spark, sf):
     return merged.select("key", "name", "n_mentions", F.md5("description").alias("description_md5"), F.md5(F.array_join("source_chunk_ids", ",")).alias("chunks_md5"), "first_batch", "first_doc", "last_batch")
 
 
-@_query(f"""WITH {SQL_MENTIONS}, some AS (SELECT m.* FROM mentions m JOIN chunks USING (chunk_id) WHERE length(text) % 7 <> 0)
-  SELECT 'entity' AS kind, doc_id, chunk_no, pos, name AS a, description AS b FROM some
-  UNION ALL SELECT 'relation', doc_id, chunk_no, pos, name, description FROM some WHERE description <> ''""")
+@_query(f"""WITH {SQL_MENTIONS}, told AS (SELECT m.* FROM mentions m JOIN chunks USING (chunk_id) WHERE length(text) % 7 <> 0)
+  SELECT 'entity' AS kind, doc_id, chunk_no, pos, name AS a, description AS b FROM told
+  UNION ALL SELECT 'relation', doc_id, chunk_no, pos, name, description FROM told WHERE description <> ''""")
 def model_extraction(spark, sf):
     """A scripted model lists what each chunk names, in JSON with words around it, and says nothing of use about every seventh length."""
     import re
