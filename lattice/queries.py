@@ -216,6 +216,17 @@ def knn_augment(spark, sf):
     return _rounded(vectors.augment(vectors.new_pairs(vectors.similar_pairs(_vectors(spark, sf), THRESHOLD), ring), k), "sim")
 
 
+@_query(f"""WITH RECURSIVE {SQL_NEW}, ends AS (SELECT a, b, sim, unnest([a, b]) AS node FROM fresh),
+  lists AS (SELECT row_number() OVER (ORDER BY node) AS i, l FROM (SELECT node, list({{'a': a, 'b': b}} ORDER BY sim DESC, a + b - node) AS l FROM ends GROUP BY node)),
+  walk AS (SELECT 0::BIGINT AS i, []::STRUCT(a BIGINT, b BIGINT)[] AS added UNION ALL
+    SELECT lists.i, list_concat(added, list_slice(list_filter(l, lambda p: NOT list_contains(added, p)), 1, 4)) FROM walk JOIN lists ON lists.i = walk.i + 1)
+  SELECT p.a AS a, p.b AS b FROM (SELECT unnest(added) AS p FROM walk WHERE i = (SELECT max(i) FROM walk))""")
+def knn_greedy(spark, sf):
+    ring = _ring(spark, sf)
+    k = graph.average_degree_k(_t(spark, sf, "embeddings").count(), ring.count())
+    return vectors.augment_greedily(vectors.new_pairs(vectors.similar_pairs(_vectors(spark, sf), THRESHOLD), ring), k).select("a", "b")
+
+
 @_query(f"""WITH RECURSIVE {SQL_PAIRS}, sym AS (SELECT a AS s, b AS t FROM pairs UNION ALL SELECT b, a FROM pairs), reach AS (SELECT id, id AS r FROM v UNION SELECT reach.id, t FROM reach JOIN sym ON s = r)
   SELECT id, min(r) AS community FROM reach GROUP BY id""")
 def components(spark, sf):
@@ -532,26 +543,25 @@ def batch_embedding(spark, sf):
     return rows.select("doc_id", *[F.col("v")[k].alias(f"d{k + 1}") for k in range(3)])
 
 
-@_query("""SELECT coalesce(source, 'none') AS source, count(*) AS n FROM (SELECT source FROM documents UNION ALL SELECT 'benchmark' FROM benchmark) GROUP BY 1""")
+@_query("""SELECT doc_id, upper(source) AS mark FROM documents UNION ALL SELECT 1000000000 + item_id, 'BENCHMARK' FROM benchmark""")
 def conflicting_writers(spark, sf):
-    """A writer counts documents by source while another one adds the benchmark: its commit is refused, and made anew on what is there then."""
+    """A writer marks every document with its source while another one adds the benchmark: its commit is refused, and made anew on what is there then."""
     import uuid
 
     from lattice.sources.store import Append, SnapshotStore
 
     store = SnapshotStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
-    store.write({"rows": _t(spark, sf, "documents").select(F.coalesce("source", F.lit("none")).alias("source"))})
+    store.write({"rows": _t(spark, sf, "documents").select("doc_id", "source")})
     tries = []
 
-    def count(tables):
-        counts = tables["rows"].groupBy("source").agg(F.count("*").alias("n"))
+    def mark(tables):
         if not tries:
-            store.commit({"rows": Append(_t(spark, sf, "benchmark").select(F.lit("benchmark").alias("source")))})
+            store.commit({"rows": Append(_t(spark, sf, "benchmark").select((F.lit(1000000000) + F.col("item_id")).alias("doc_id"), F.lit("benchmark").alias("source")))})
         tries.append(tables.version)
-        return {"counts": counts}
+        return {"marks": tables["rows"].select("doc_id", F.upper("source").alias("mark"))}
 
-    store.update(count)
-    return store.read()["counts"]
+    store.update(mark)
+    return store.read()["marks"]
 
 
 @_query(None)

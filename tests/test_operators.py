@@ -71,6 +71,30 @@ def test_zero_vectors_and_ties(spark):
     assert found[2].distance == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("k", [1, 3])
+def test_greedy_edges_are_those_of_one_pass_in_order(spark, k):
+    import random
+
+    rng = random.Random(k)
+    pairs = [(a, b, rng.choice([0.5, 0.6, 0.7, rng.random()])) for a in range(24) for b in range(a + 1, 24) if rng.random() < 0.3 or a == 7 or b == 20]
+    pairs += [(100 + i, 101 + i, 0.9 - 0.01 * i) for i in range(6)]  # a chain, where each node waits for the one before
+    near, added = {}, set()
+    for a, b, sim in pairs:
+        near.setdefault(a, []).append((-sim, b))
+        near.setdefault(b, []).append((-sim, a))
+    for node in sorted(near):
+        left = k
+        for _, other in sorted(near[node]):
+            pair = (min(node, other), max(node, other))
+            if left and pair not in added:
+                added.add(pair)
+                left -= 1
+    found = vectors.augment_greedily(spark.createDataFrame(pairs, "a long, b long, sim double"), k)
+    assert rows(found.select("a", "b")) == sorted(added)
+    assert set(rows(vectors.augment(spark.createDataFrame(pairs, "a long, b long, sim double"), k).select("a", "b"))) <= added
+    assert vectors.augment_greedily(spark.createDataFrame([], "a long, b long, sim double"), k).count() == 0
+
+
 def test_connected_components_of_a_long_path(spark):
     nodes = spark.range(60).select("id")
     edges = spark.range(40).select(F.col("id").alias("source_id"), (F.col("id") + 1).alias("target_id"))
