@@ -109,13 +109,33 @@ def test_token_files_of_awkward_rows(spark):
 
 
 def test_tokens_are_those_of_the_library(spark):
-    texts = dict(enumerate(["A  b\n\n c\t d", "it's 12345 don't", "é漢字🙂 x", "   x y", "a" * 5000, " lead", "trail ", "\x1c\x1f", "ﬁ Å ǆ", LONG]))
+    texts = dict(enumerate(["A  b\n\n c\t d", "it's 12345 don't", "é漢字🙂 x", "   x y", "a" * 5000, " lead", "trail ", "\x1c\x1f", "ﬁ Å ǆ", LONG, "A <|endoftext|> b", "a<|startoftext|>B  <|endoftext|>  c", "<|endoftext|>", "<|ENDOFTEXT|> NASA"]))
     for name, end in (("byte_bpe_50k.json", 2), ("word_bpe_49k.json", 1)):
         want = ids_of(name, texts, end)
         found = token_file_digests(documents(spark, *texts.values()), queries.tokenizer(name), end).collect()
         assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in found} == {i: (len(t), crc(t)) for i, t in want.items()}
 
 
+def test_tokenizers_of_another_make_get_texts_whole(tmp_path):
+    """Without its normalizer, or with a special token that takes in spaces, a tokenizer's texts are neither cut nor lower-cased here."""
+    import json
+
+    from lattice.llm.tokens import Encoder
+
+    texts = ["Hello World NASA", "two  blanks <|pad|>  here", None, "", "x\ny <|pad|>"]
+    for name, change in (("word_bpe_49k.json", {"normalizer": None}), ("byte_bpe_50k.json", {"normalizer": {"type": "Lowercase"}}), ("byte_bpe_50k.json", {})):
+        with open(queries.tokenizer(name)) as file:
+            made = json.load(file) | change
+        if not change:
+            made["added_tokens"].append(made["added_tokens"][0] | {"id": 50257, "content": "<|pad|>", "lstrip": True, "rstrip": True})
+        path = tmp_path / f"{len(list(tmp_path.iterdir()))}.json"
+        path.write_text(json.dumps(made))
+        model, encode = tokenizers.Tokenizer.from_file(str(path)), Encoder(str(path), 7)
+        assert not encode.is_usual
+        ids, bounds = encode.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [[*model.encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
+
+
 # media
 
 
