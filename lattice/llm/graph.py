@@ -19,23 +19,25 @@ def shared_buckets(buckets: DataFrame) -> DataFrame:
     return dealt.join(sums.hint("shuffle_hash"), "bucket")
 
 
-def bucket_links(shared: DataFrame, salts: int = 32) -> DataFrame:
+def bucket_links(shared: DataFrame, salts: int = 32, spread: bool = True) -> DataFrame:
     """Links (a, b), a < b, that join up each of the ``shared_buckets`` of distinct (bucket, id): long columns.
 
     Buckets of two or three ids give all their pairs, straight from the sums.
     Larger ones give every id's pairs with the bucket's least and greatest id
     and with its neighbour in hashed order within one of ``salts`` parts, so a
-    hot bucket is spread over tasks.
+    hot bucket is spread over tasks. Without ``spread`` they give those with the
+    least id and with the neighbour in one order for all buckets: ids that share
+    many buckets then get few links.
     """
     small = shared.where("n <= 3 AND id = lo").select(
         F.inline(F.expr("""CASE WHEN n = 2 THEN array(struct(lo AS a, hi AS b))
             ELSE array(struct(lo AS a, hi AS b), struct(lo AS a, x ^ lo ^ hi AS b), struct(x ^ lo ^ hi AS a, hi AS b)) END"""))
     )
-    order = Window.partitionBy("bucket", "part").orderBy(F.xxhash64("id", "bucket"), "id")
+    order = Window.partitionBy("bucket", "part").orderBy(F.xxhash64("id", "bucket") if spread else F.xxhash64("id"), "id")
     near = (
         shared.where("n > 3").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(salts)))
         .withColumn("near", F.lag("id").over(order))
-        .select(F.explode(F.array("lo", "hi", "near")).alias("other"), "id")
+        .select(F.explode(F.array("lo", "hi", "near") if spread else F.array("lo", "near")).alias("other"), "id")
         .where("other IS NOT NULL AND other <> id")
         .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
     )
