@@ -71,6 +71,40 @@ def test_zero_vectors_and_ties(spark):
     assert found[2].distance == pytest.approx(1.0)
 
 
+def test_nearest_of_several_blocks_loses_no_layer(spark):
+    import random
+
+    rng = random.Random(1)
+    rows_of = [(i, i % 7, [rng.gauss(0, 1) for _ in range(4)]) for i in range(300)]
+    v = spark.createDataFrame(rows_of, "id long, layer int, v array<double>").repartition(8)
+    asked = v.select(F.col("id").alias("query_id"), "layer", "v")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # partitions stay apart, as those of large tables do
+    try:
+        whole, parts = (rows(vectors.nearest(asked, v, 3, block=b).select("layer", "query_id", "rank", "id")) for b in (1000, 50))
+        one = rows(vectors.nearest(asked.where("query_id < 10"), v, 3, block=50).select("layer", "query_id", "rank", "id"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(whole) == 900 and parts == whole
+    assert one == [r for r in whole if r[1] < 10]
+
+
+def test_copies_of_a_vector_are_ties(spark):
+    import random
+
+    rng = random.Random(2)
+    some = [[rng.gauss(0, 1) for _ in range(64)] for _ in range(111)]
+    v = spark.createDataFrame([(i, 0, some[i % 111]) for i in range(333)], "id long, layer int, v array<double>")
+    found = vectors.nearest(v.where("id < 5").select(F.col("id").alias("query_id"), "layer", "v"), v, 333)
+    near = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        near.setdefault((r.query_id, r.id % 111), []).append((r.id, r.distance))
+    assert all([i for i, _ in x] == sorted(i for i, _ in x) and len({d for _, d in x}) == 1 for x in near.values())
+    sims = {}
+    for r in vectors.similar_pairs(v.select("id", "v"), -2.0).collect():
+        sims.setdefault((min(r.a % 111, r.b % 111), max(r.a % 111, r.b % 111)), set()).add(r.sim)
+    assert all(len(x) == 1 for x in sims.values())
+
+
 @pytest.mark.parametrize("k", [1, 3])
 def test_greedy_edges_are_those_of_one_pass_in_order(spark, k):
     import random
