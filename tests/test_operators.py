@@ -129,6 +129,35 @@ def test_greedy_edges_are_those_of_one_pass_in_order(spark, k):
     assert vectors.augment_greedily(spark.createDataFrame([], "a long, b long, sim double"), k).count() == 0
 
 
+def few_vectors(spark, n=150, different=40):
+    import random
+
+    rng = random.Random(3)
+    some = [[rng.gauss(0, 1) for _ in range(5)] for _ in range(different - 1)] + [[0.0] * 5]
+    rows_of = [(i, some[rng.randrange(different)] if i % 3 else [rng.gauss(0, 1) for _ in range(5)]) for i in range(n)]
+    edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(60)]
+    return spark.createDataFrame(rows_of, "id long, v array<double>"), spark.createDataFrame(edges, "source_id long, target_id long")
+
+
+@pytest.mark.parametrize("k,first", [(2, 1), (3, None)])
+def test_greedy_edges_from_heads_of_lists(spark, k, first):
+    nodes, edges = few_vectors(spark)
+    pairs = vectors.new_pairs(vectors.similar_pairs(nodes, 0.6), edges).collect()
+    near, added = {}, set()
+    for a, b, sim in pairs:
+        near.setdefault(a, []).append((-sim, b))
+        near.setdefault(b, []).append((-sim, a))
+    for node in sorted(near):
+        left = k
+        for _, other in sorted(near[node]):
+            pair = (min(node, other), max(node, other))
+            if left and pair not in added:
+                added.add(pair)
+                left -= 1
+    found = vectors.augment_similar(nodes, edges, 0.6, k, first=first)
+    assert rows(found.select("a", "b")) == sorted(added)
+
+
 def test_connected_components_of_a_long_path(spark):
     nodes = spark.range(60).select("id")
     edges = spark.range(40).select(F.col("id").alias("source_id"), (F.col("id") + 1).alias("target_id"))
