@@ -158,6 +158,16 @@ def test_greedy_edges_from_heads_of_lists(spark, k, first):
     assert rows(found.select("a", "b")) == sorted(added)
 
 
+def test_groups_of_copies_are_those_of_all_pairs(spark):
+    nodes, _ = few_vectors(spark)
+    of = vectors.copies(nodes).cache()
+    near = vectors.class_pairs(of, 0.75).cache()
+    assert near.count() < vectors.similar_pairs(nodes, 0.75).count()
+    edges = vectors.similar_pairs(nodes, 0.75).select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.col("sim").alias("weight"))
+    assert rows(cluster.components_of_copies(of, near)) == rows(cluster.components(nodes.select("id"), edges))
+    assert rows(cluster.label_propagation_of_copies(of, near)) == rows(cluster.label_propagation(nodes.select("id"), edges))
+
+
 def test_connected_components_of_a_long_path(spark):
     nodes = spark.range(60).select("id")
     edges = spark.range(40).select(F.col("id").alias("source_id"), (F.col("id") + 1).alias("target_id"))
