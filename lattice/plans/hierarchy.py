@@ -12,7 +12,7 @@ from lattice.operators.cluster import label_propagation
 from lattice.operators.community import community_texts
 from lattice.operators.embedding import hashed
 from lattice.operators.graph import average_degree_k, edge_weights, lift_edges
-from lattice.operators.vectors import augment_greedily, new_pairs, similar_pairs
+from lattice.operators.vectors import augment_similar, new_pairs, similar_pairs
 
 Strategy = Callable[[DataFrame, DataFrame], DataFrame]
 #: From new pairs (a, b, sim) and a number of neighbours to the edges gained (a, b).
@@ -27,7 +27,7 @@ def _offline(rows: DataFrame, text: str) -> DataFrame:
     return hashed().embed(rows, F.col(text))[0]
 
 
-def build_hierarchy(nodes: DataFrame, edges: DataFrame, max_levels: int = 5, threshold: float = 0.7, min_nodes: int = 3, cluster: Strategy = label_propagation, embed: Embed = _offline, summarise: Summarise | None = None, augment: Augment = augment_greedily) -> tuple[DataFrame, DataFrame]:
+def build_hierarchy(nodes: DataFrame, edges: DataFrame, max_levels: int = 5, threshold: float = 0.7, min_nodes: int = 3, cluster: Strategy = label_propagation, embed: Embed = _offline, summarise: Summarise | None = None, augment: Augment | None = None) -> tuple[DataFrame, DataFrame]:
     """(communities, membership) of nodes (id long, text, v) and edges (source_id, target_id).
 
     communities (level, id, summary, n_members, v), membership (level, community_id, member_id).
@@ -35,7 +35,7 @@ def build_hierarchy(nodes: DataFrame, edges: DataFrame, max_levels: int = 5, thr
     when a level above the first is one community, or when grouping no longer
     shrinks the level. Community ids are their least member's, so they are stable. Without ``summarise`` a summary
     is that of ``community_texts``; ``embed`` makes the vectors of every level, as those of ``nodes`` were made.
-    ``augment`` chooses the edges gained by similarity: ``augment_greedily`` in order of ids, or ``vectors.augment``, each end's most similar
+    ``augment`` chooses the edges gained by similarity: without it ``augment_similar`` in order of ids; or ``vectors.augment``, each end's most similar
     ones, which gains a part of the same edges in one pass.
     """
     spark = nodes.sparkSession
@@ -46,7 +46,8 @@ def build_hierarchy(nodes: DataFrame, edges: DataFrame, max_levels: int = 5, thr
         if n < min_nodes:
             break
         k = average_degree_k(n, edges.count())
-        gained = augment(new_pairs(similar_pairs(nodes.select("id", "v"), threshold), edges), k)
+        alike = nodes.select("id", "v")
+        gained = augment_similar(alike, edges, threshold, k) if augment is None else augment(new_pairs(similar_pairs(alike, threshold), edges), k)
         all_edges = cut(edges.select("source_id", "target_id").unionByName(gained.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"))))
         labels = cluster(nodes.select("id"), edge_weights(all_edges, nodes.select("id", "v")))
         m = labels.select("community").distinct().count()
