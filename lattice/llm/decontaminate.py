@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lattice.llm.scratch import Scratch
 
 SAMPLES, WORDS, LEAST = 32, 5, 16
-_SPACE = r"[\x20\x09-\x0D]+"
+_SPACE, _LETTER = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 
 
 def split_words(text: Column) -> Column:
@@ -37,6 +37,12 @@ def split_words(text: Column) -> Column:
     return F.when(F.length(trimmed) > 0, F.split(trimmed, _SPACE))
 
 
+def document_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, w) of the documents with words, dealt by doc_id. The blank ones go by a plain match, so that no text is split only to be filtered before its shuffle."""
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.where(F.col("text").rlike(_LETTER)).repartition("doc_id").select("doc_id", split_words(F.col("text")).alias("w"))
+
+
 def _positions(rows: DataFrame, *keys: str) -> DataFrame:
     """(keys, i, h): the hash of each shingle of rows with words ``w``."""
     at = rows.select(*keys, "w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - WORDS, F.lit(0)))).alias("i"))
@@ -74,8 +80,7 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 75, broadcast
     small = wanted.count() <= broadcast_items * SAMPLES
     few = short.count() <= broadcast_items * LEAST
 
-    words = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    words = words.repartition("doc_id").select("doc_id", split_words(F.col("text")).alias("w")).where("w IS NOT NULL")
+    words = document_words(docs)
     classes = sorted(x["class"] for x in sizes.select("class").distinct().collect()) or [2 * LEAST]  # powers of two, 64 at most
     fine = _least(_positions(words, "doc_id").withColumn("block", F.expr(f"i div {classes[0]}")), "doc_id", "block")
     wider = [F.struct(F.lit(c).alias("class"), F.expr(f"block div {c // classes[0]}").alias("part")) for c in classes]

@@ -426,3 +426,13 @@ def test_toxicity_of_awkward_rows(spark):
     assert len(found) == 12 and all(0 <= r.score <= 1 for r in found) and len({r.score for r in found if r.doc_id in (1, 2, 3)}) == 1
     assert all(r.score == pytest.approx(0, abs=1e-9) for r in toxicity_scores(rows, labels.limit(0)).collect())
     assert toxicity_scores(empty(spark), labels).count() == 0
+
+
+def test_texts_are_split_into_words_after_their_shuffle(spark):
+    """Only the plain match for blank texts comes before it."""
+    from lattice.llm.decontaminate import document_words
+
+    docs = documents(spark, None, "", " \t\r\n", "A b", "   ")
+    assert {r.doc_id: r.w for r in document_words(docs).collect()} == {3: ["a", "b"], 4: [" "]}
+    plan = document_words(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan[plan.index("Repartition") :]
