@@ -8,6 +8,7 @@ so the ids are those of the whole text.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -20,8 +21,8 @@ import regex
 #: White space that ends a chunk: a cut after it would change byte-level pre-tokens.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　] ")
 _CUT = re.compile(r"(?<=\S)(?= )")
-#: Chunks of printable ASCII and composed Latin letters are cut here, by the two tokenizers' pre-token patterns; all others go to the tokenizer whole.
-_PLAIN = re.compile("[ -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: Chunks of printable ASCII, line feeds and composed Latin letters are cut here, by the two tokenizers' pre-token patterns; all others go to the tokenizer whole.
+_PLAIN = re.compile("[\n -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _KEEPING = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 _DROPPING = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+""")
 #: Byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for the characters from 256 on, in order.
@@ -117,7 +118,7 @@ class Encoder:
             for piece in pattern.findall(chunk.lower() if lower else chunk):
                 have = known.get(piece)
                 if have is None:
-                    as_bytes = piece.replace(" ", "\u0120") if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_CHARS)
+                    as_bytes = piece.replace(" ", "\u0120").replace("\n", "\u010a") if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_CHARS)
                     have = known[piece] = [x.id for x in model.tokenize(as_bytes)]
                 ids += have
         for i, x in zip(rest, self.tokenizer.encode_batch([chunks[i] for i in rest], add_special_tokens=False)):
@@ -126,6 +127,15 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids as one array and the bounds of each text's, end id included. Null counts as empty."""
+        on = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and a collection goes through all that is kept
+        try:
+            return self._encode(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.later) + len(self.first) > self.most:
             self._clear()
         flat: list[int] = []

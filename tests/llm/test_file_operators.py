@@ -237,3 +237,25 @@ def test_all_pages_have_a_row(spark, sf_dir):
     rows = queries.op4_html_extraction(spark, sf_dir).collect()
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     assert len(rows) == pages.count() and sum(bool(r.text) for r in rows) >= 0.8 * len(rows)
+
+
+def test_encoding_is_not_held_up_by_garbage_collection():
+    """Line breaks within a chunk go through the model too; ids are the library's."""
+    import gc
+    import random
+
+    from lattice.llm.queries import tokenizer
+    from lattice.llm.tokens import Encoder
+
+    rng, own = random.Random(4), Encoder(tokenizer("byte_bpe_50k.json"), 2)
+    texts = ["".join(rng.choices(["a", "B", " ", "\n", "\t", "é", "1", "'s", ".", "　", "\x85"], k=rng.randrange(12))) for _ in range(20_000)]
+    seen = []
+    note = lambda phase, info: seen.append(info["generation"])
+    gc.callbacks.append(note)
+    try:
+        ids, bounds = own.encode(texts)
+        assert gc.isenabled() and len(seen) <= 6
+    finally:
+        gc.callbacks.remove(note)
+    want = [x.ids + [2] for x in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == want
