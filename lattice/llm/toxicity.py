@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -84,6 +85,13 @@ def _class_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*[pa.array(x[at].view(np.int64)) for x in (before, word)], *map(pa.array, counts)], ["v", "w", "n_1", "n_0"])
 
 
+def _merged(keys: np.ndarray, counts: np.ndarray, more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys and their counts, with those of ``more`` arrays of keys added."""
+    found, n = np.unique(np.concatenate([*more, np.zeros(0, np.uint64)]), return_counts=True)
+    keys, number = np.unique(np.concatenate([keys, found]), return_inverse=True)
+    return keys, np.bincount(number, weights=np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(w, n): words of all texts, summed within the task as far as a million different ones allow."""
     keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -92,15 +100,17 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(keys), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000].view(np.int64)), pa.array(counts[i : i + 100_000])], ["w", "n"])
 
+    waiting: list[np.ndarray] = []
     for batch in batches:
-        for _, _, data, offsets in slices(batch.column(0), 1 << 22):
-            found, n = np.unique(_tokens(data, offsets)[0], return_counts=True)
-            both = np.concatenate([keys, found])
-            keys, number = np.unique(both, return_inverse=True)
-            counts = np.bincount(number, weights=np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
-            if len(keys) > 1_000_000:
-                yield from out()
-                keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for _, _, data, offsets in slices(batch.column(0)):
+            waiting.append(_tokens(data, offsets)[0])
+            if sum(map(len, waiting)) > 500_000:
+                keys, counts = _merged(keys, counts, waiting)
+                waiting = []
+                if len(keys) > 1_000_000:
+                    yield from out()
+                    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys, counts = _merged(keys, counts, waiting)
     yield from out()
 
 
@@ -200,9 +210,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -500, 500)))
 
 
-def _scored(rows: DataFrame, model: Model, score: str) -> DataFrame:
-    """``rows``, whose first column is the text, with the features (f0, f1, ...) where ``score`` is empty, else with a column of scores by that name."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+def _scored(rows: DataFrame, shared: Broadcast, score: str) -> DataFrame:
+    """``rows``, whose first column is the text, with the features (f0, f1, ...) by the ``shared`` model where ``score`` is empty, else with a column of scores by that name."""
     new = [score] if score else [f"f{k}" for k in range(FEATURES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,8 +225,13 @@ def _scored(rows: DataFrame, model: Model, score: str) -> DataFrame:
     return rows.mapInArrow(run, StructType([*rows.schema.fields, *[StructField(c, DoubleType()) for c in new]]))
 
 
-def _column(table: pa.Table, name: str) -> np.ndarray:
-    return table.column(name).combine_chunks().to_numpy() if table.num_rows else np.zeros(0, np.int64)
+def _columns(rows: DataFrame) -> dict[str, np.ndarray]:
+    """The columns of whole numbers of a table of bounded size; what it came in is given back before they are worked on."""
+    table = rows.toArrow()
+    out = {c: np.array(table.column(c)) if table.num_rows else np.zeros(0, np.int64) for c in rows.columns}
+    del table
+    pa.default_memory_pool().release_unused()
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, class_rows: int = 3_000) -> Model:
@@ -239,11 +253,15 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, class_rows: int
     counts = scratch.table("counts", rows.select("text").mapInArrow(_word_counts, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     used = pairs.select("w").distinct()
-    gathered, common = pairs.toArrow(), counts.join(used, "w", "left_semi").toArrow()
-    model = Model({c: _column(gathered, c) for c in ("v", "w", "n_1", "n_0")}, {c: _column(common, c) for c in ("w", "n")}, total)
-    found = _scored(sample.where("use = 'curve'").select("text", "label"), model, "").drop("text").toPandas()
+    common = _columns(counts.join(used, "w", "left_semi"))
+    model = Model(_columns(pairs.select("v", "w", F.col("n_1").cast("int"), F.col("n_0").cast("int"))), common, total)
+    del common
+    scratch.drop("pairs", "counts")  # with the driver's copies of what it has gathered
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    found = _scored(sample.where("use = 'curve'").select("text", "label"), shared, "").drop("text").toPandas()
+    shared.destroy()
     model.fit_curve(found[[f"f{k}" for k in range(FEATURES)]].to_numpy(), found["label"].to_numpy(float))
-    scratch.drop("chosen", "sample", "pairs", "counts")
+    scratch.drop("chosen", "sample")
     return model
 
 
@@ -256,7 +274,7 @@ def with_scores(docs: DataFrame, labels: DataFrame, score: str = "score") -> Dat
     model = train(docs, labels.where(~_held_out()), Scratch(docs.sparkSession, "toxicity"))
     kept = [c for c in docs.columns if c != score]
     inner = docs.select(F.col("text").cast("string").alias("read"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)])
-    scored = _scored(inner, model, "scored")
+    scored = _scored(inner, docs.sparkSession.sparkContext.broadcast(model), "scored")
     return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], F.col("scored").alias(score))
 
 

@@ -436,3 +436,20 @@ def test_texts_are_split_into_words_after_their_shuffle(spark):
     assert {r.doc_id: r.w for r in document_words(docs).collect()} == {3: ["a", "b"], 4: [" "]}
     plan = document_words(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert "split(" not in plan[plan.index("Repartition") :]
+
+
+def test_memory_of_word_counts_is_bounded_by_a_slice(spark):
+    """Four megabytes of text in one batch are hashed a megabyte at a time, with the same counts."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lattice.llm import toxicity
+
+    texts, sizes, tokens = ["to be or not to be " * 3000] * 80, [], toxicity._tokens
+    toxicity._tokens = lambda data, offsets: (sizes.append(len(data)), tokens(data, offsets))[1]
+    try:
+        parts = list(toxicity._word_counts(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])))
+    finally:
+        toxicity._tokens = tokens
+    assert max(sizes) <= 1 << 20
+    assert sorted(np.concatenate([p.column(1).to_numpy() for p in parts]).tolist()) == [240_000, 240_000, 480_000, 480_000]
