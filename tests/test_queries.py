@@ -10,6 +10,19 @@ def test_query_gives_the_rows_of_its_sql(spark, sf_dir, name):
     assert spark_rows(queries.queries()[name](spark, sf_dir)) == duckdb_rows(queries.oracle_sql()[name], sf_dir)
 
 
+@pytest.mark.parametrize("name", ["hierarchical_search", "ranked_points", "report_text", "vector_search", "vector_search_candidates", "inter_links"])
+def test_searches_of_several_blocks_give_the_rows_of_their_sql(spark, sf_dir, monkeypatch, name):
+    from lattice.operators import vectors
+
+    monkeypatch.setattr(vectors, "_blocks", lambda rows, block: 3)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # partitions stay apart, as those of large tables do
+    try:
+        found = spark_rows(queries.queries()[name](spark, sf_dir))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert found == duckdb_rows(queries.oracle_sql()[name], sf_dir)
+
+
 def test_entry_points(spark, sf_dir):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert set(queries.queries()) <= set(__spark_entry__.queries())
