@@ -119,6 +119,27 @@ def test_repeated_bytes_of_hard_cases(spark, most):
     assert found[12].kept_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_spans_of_one_text_are_joined_within_a_context_only():
+    import random
+
+    import pyarrow as pa
+
+    from lattice.llm.suffix_dedup import _expanded
+
+    rng = random.Random(7)
+    some = lambda n: bytes(rng.choices(b"abcdefgh ", k=n))
+    anchor, left, right, other_left, other_right = some(100), some(8), some(300), some(3), some(300)
+    rows = [  # the first context's repeated windows start 8 to 4 bytes before the anchor, the second one's 3 to 0
+        (0, 1, 0, 0, left + anchor + right, 8, True),
+        (0, 1, 0, 1000, other_left + anchor + other_right, 3, True),
+        (0, 2, 0, 0, left + anchor + right[:296] + b"wxyz", 8, True),
+        (0, 2, 0, 1000, b"z" + other_left + anchor + other_right, 4, True),
+    ]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["anchor", "d", "x", "lo", "context", "at", "single"])
+    found = [r for out in _expanded(iter([batch])) for r in zip(*[c.to_pylist() for c in out.columns])]
+    assert [r for r in found if r[0] == 1] == [(1, 0, 0, 404), (1, 0, 1000, 1403)]
+
+
 def test_repeated_bytes_of_awkward_rows(spark):
     found = remove_repeats(awkward(spark)).collect()
     assert len(found) == 12 and sum(r.n_removed > 0 for r in found) == 4
