@@ -218,6 +218,34 @@ def test_a_passage_whose_seeds_have_other_extreme_documents(spark):
     assert {(r.doc_id, r.partner_id, r.from_word, r.to_word) for r in found} == {(5, 6, 30, 80), (6, 5, 30, 80)}
 
 
+def test_links_of_seeds_are_those_of_whole_groups():
+    import random
+
+    import pyarrow as pa
+
+    from lattice.llm.substring_dedup import K, _linked
+
+    rng = random.Random(5)
+    seeds = sorted({(rng.randrange(-20, 20), rng.randrange(1, 9), rng.randrange(400)) for _ in range(400)} | {(99, 1, 5), (100, 2, 8), (100, 2, 6)})
+    kinds = {h: h % 2 for h, _, _ in seeds}  # a seed has one length
+    seeds = sorted({(h, d, at // 2 * 2 + kinds[h]) for h, d, at in seeds})
+    want = []
+    for h in kinds:
+        own = [(d, at // 2) for g, d, at in seeds if g == h]
+        ends = (min(own), min(x for x in own if x[0] == max(own)[0]))
+        want += [(d, r, p + more, q + more) for d, p in own for r, q in ends if r != d and ends[0][0] != ends[1][0] for more in ((0, 30 - K) if kinds[h] else (0,))]
+    for step in (1, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*seeds[i : i + step]), (pa.int64(), pa.int64(), pa.int32()))], ["h", "d", "at"]) for i in range(0, len(seeds), step)]
+        found = [r for out in _linked(30)(iter(batches)) for r in zip(*[c.to_pylist() for c in out.columns])]
+        assert sorted(found) == sorted(want), step
+
+
+def test_passages_do_not_depend_on_the_slices(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    one, five = (sorted(tuple(r) for r in passages(docs, slices_of=n).collect()) for n in (1, 5))
+    assert one and one == five
+
+
 def test_passages_of_awkward_rows(spark):
     found = passages(awkward(spark)).collect()
     assert {(r.doc_id, r.partner_id, r.from_word, r.to_word) for r in found} == {(6, 7, 0, 6000), (7, 6, 0, 6000)}
