@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -210,21 +210,33 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -500, 500)))
 
 
-def _scored(rows: DataFrame, shared: Broadcast, score: str) -> DataFrame:
-    """``rows``, whose first column is the text, with the features (f0, f1, ...) by the ``shared`` model where ``score`` is empty, else with a column of scores by that name."""
-    new = [score] if score else [f"f{k}" for k in range(FEATURES)]
+def _features(rows: DataFrame, shared: Broadcast) -> DataFrame:
+    """``rows``, whose first column is the text, with their features (f0, f1, ...) by the ``shared`` model."""
+    new = [f"f{k}" for k in range(FEATURES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for batch in batches:
-            found = [own.features(data, offsets) for _, _, data, offsets in slices(batch.column(0))]
-            x = np.concatenate(found) if found else np.zeros((0, FEATURES))
-            columns = [own.score(x)] if score else list(x.T)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c) for c in columns]], [*batch.schema.names, *new])
+            x = _features_of(shared.value, batch.column(0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, x.T)], [*batch.schema.names, *new])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, *[StructField(c, DoubleType()) for c in new]]))
 
 
+def _features_of(model: Model, texts: pa.Array) -> np.ndarray:
+    found = [model.features(data, offsets) for _, _, data, offsets in slices(texts)]
+    return np.concatenate(found) if found else np.zeros((0, FEATURES))
+
+
+def _score(text: Column, shared: Broadcast) -> Column:
+    """The score of each text by the ``shared`` model. Only texts go to Python and only scores come back, so that no other column takes up memory there."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(shared.value.score(_features_of(shared.value, texts)))
+
+    return F.arrow_udf(run, DoubleType()).asNondeterministic()(text)  # so that a filter on the score doesn't have it made twice
+
+
 def _columns(rows: DataFrame) -> dict[str, np.ndarray]:
     """The columns of whole numbers of a table of bounded size; what it came in is given back before they are worked on."""
     table = rows.toArrow()
@@ -258,7 +270,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, class_rows: int
     del common
     scratch.drop("pairs", "counts")  # with the driver's copies of what it has gathered
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    found = _scored(sample.where("use = 'curve'").select("text", "label"), shared, "").drop("text").toPandas()
+    found = _features(sample.where("use = 'curve'").select("text", "label"), shared).drop("text").toPandas()
     shared.destroy()
     model.fit_curve(found[[f"f{k}" for k in range(FEATURES)]].to_numpy(), found["label"].to_numpy(float))
     scratch.drop("chosen", "sample")
@@ -272,10 +284,9 @@ def _held_out():
 def with_scores(docs: DataFrame, labels: DataFrame, score: str = "score") -> DataFrame:
     """``docs`` with one more column, the score of each row's text; a column of ``docs`` with that name is left out. Labels of held-out rows are never read."""
     model = train(docs, labels.where(~_held_out()), Scratch(docs.sparkSession, "toxicity"))
-    kept = [c for c in docs.columns if c != score]
-    inner = docs.select(F.col("text").cast("string").alias("read"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)])
-    scored = _scored(inner, docs.sparkSession.sparkContext.broadcast(model), "scored")
-    return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], F.col("scored").alias(score))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != score]
+    return docs.select(*kept, _score(F.col("text").cast("string"), shared).alias(score))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -502,3 +502,13 @@ def test_memory_of_word_counts_is_bounded_by_a_slice(spark):
         toxicity._tokens = tokens
     assert max(sizes) <= 1 << 20
     assert sorted(np.concatenate([p.column(1).to_numpy() for p in parts]).tolist()) == [240_000, 240_000, 480_000, 480_000]
+
+
+def test_only_texts_go_to_the_scoring_tasks_and_scores_come_back(spark):
+    docs = documents(spark, "aa bb cc", "dd ee ff", None).withColumn("score", F.lit("old")).withColumn("a b.c", F.col("text"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3)], "doc_id long, toxic int")
+    found = toxicity.with_scores(docs, labels)
+    assert found.columns == [c for c in docs.columns if c != "score"] + ["score"]
+    assert {(r.doc_id, r.text, r["a b.c"]) for r in found.where("score < 2").collect()} == {(0, "aa bb cc", "aa bb cc"), (1, "dd ee ff", "dd ee ff"), (2, None, None)}
+    plan = found.where("score < 2")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "MapInArrow" not in plan
