@@ -385,6 +385,44 @@ def test_groups_of_any_shape_are_those_of_all_pairs(spark):
     assert {i for i, n in found.items() if not n} == {i for i, g in want.items() if i == g}
 
 
+def test_all_similar_lines_with_one_run_of_words_are_found(spark):
+    """Four words in a row in lines of 43 short words, eight in longer lines; the words around are edited everywhere, so that few blocks or one are shared."""
+    rng = random.Random(13)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    lines, edited = [], lambda w: w[:-1] + ("x" if w[-1] != "x" else "z")
+    for _ in range(100):
+        a = [word(rng.choice([4, 5])) for _ in range(43)]  # edits two words apart but for one run of four
+        at = rng.randrange(5, 35)
+        b = [w if at <= i < at + 4 or i % 3 else edited(w) for i, w in enumerate(a)]
+        lines += [" ".join(a), " ".join(b)]
+    for _ in range(60):
+        a = [word(rng.randint(6, 9)) for _ in range(rng.choice([40, 100, 300]))]
+        at = rng.randrange(5, 30)
+        b = [w if at <= i < at + 8 or i % 3 else edited(w) for i, w in enumerate(a)]
+        lines += [" ".join(a), " ".join(b)]
+    found = {r.doc_id: r.n_removed for r in dedup_lines(documents(spark, *lines)).select("doc_id", "n_removed").collect()}
+    assert [i for i in range(len(lines)) if found[i] != i % 2] == []
+
+
+def test_bounds_settle_pairs_as_the_distance_does(spark):
+    from lattice.llm.line_dedup import similar
+
+    rng, texts = random.Random(14), []
+    for _ in range(150):
+        a = prose(rng, rng.choice([3, 8, 30, 60]))
+        b = list(a)
+        for _ in range(rng.randint(0, 2 + len(a) // 6)):
+            i = rng.randrange(len(b))
+            b[i : i + 1] = rng.choice([[b[i][:-1] + "x"], [b[i], "öé"], [], [b[i] + "y\U0001f600"], [b[i][::-1]]])
+            b = b or ["x"]
+        texts += [" ".join(a), " ".join(b)]
+    lines = spark.createDataFrame(list(enumerate(texts)), "id long, norm string")
+    pairs = [(i, j) for k in range(0, len(texts), 2) for i, j in ((k, k + 1), (k + 1, k), (k, (k + 2) % len(texts)))]
+    got = {(r.a, r.b) for r in similar(spark.createDataFrame(pairs, "a long, b long"), lines, 0.9).collect()}
+    want = {(i, j) for i, j in pairs if distance(texts[i], texts[j]) <= int(0.1 * max(len(texts[i]), len(texts[j])) + 1e-9)}
+    assert got == want and 50 < len(want) < len(pairs) - 50
+
+
 def test_lines_of_awkward_rows(spark):
     rows = awkward(spark)
     found = dedup_lines(rows)
