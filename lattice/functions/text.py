@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,15 +53,21 @@ def cosine(a: str, b: str) -> Column:
     return dot(a, b) / (norm(a) * norm(b) + F.lit(EPSILON))
 
 
+def _named(value: Column, made: Callable[[Column], Column]) -> Column:
+    """``made`` of a value that is worked out once, however often ``made`` names it."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
     """Deterministic feature hashing of lower-case words into a unit vector."""
     tokens = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda t: t != "")
     slot = lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dim
     sign = lambda t: F.when(F.substring(F.md5(t), 9, 1) < "8", F.lit(1.0)).otherwise(F.lit(-1.0))
     parts = F.transform(tokens, lambda t: F.struct(slot(t).alias("slot"), sign(t).alias("sign")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(parts, lambda p: p["slot"] == i), F.lit(0.0), lambda s, p: s + p["sign"]))
-    size = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(raw, lambda x: F.when(size > 0, x / size).otherwise(F.lit(0.0)))
+    counts = lambda parts: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(parts, lambda p: p["slot"] == i), F.lit(0.0), lambda s, p: s + p["sign"]))
+    size = lambda raw: F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
+    unit = lambda raw: _named(size(raw), lambda n: F.transform(raw, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))
+    return _named(parts, lambda parts: _named(counts(parts), unit))
 
 
 def json_object(c: Column, schema: str) -> Column:

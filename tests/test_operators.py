@@ -199,6 +199,15 @@ def test_hashed_embedding_is_stable_and_defined_for_null(spark):
     assert found[0].v == found[1].v and len(found[0].v) == 64
 
 
+def test_hashed_embedding_hashes_each_word_once(spark):
+    long = " ".join(f"word{i}" for i in range(2000))
+    made = spark.createDataFrame([(long,)], "t string").select(fn.hashed_embedding(F.col("t")).alias("v"))
+    # once for the slot and once for the sign, in a value that is named and not repeated for each dimension
+    assert made._jdf.queryExecution().analyzed().toString().count("md5(") == 2
+    v = made.first().v
+    assert sum(x * x for x in v) == pytest.approx(1.0)
+
+
 def test_corpus_forms(spark, tmp_path):
     (tmp_path / "lines.jsonl").write_text('{"text": "a", "id": "1"}\nnot json\n\n{"context": "", "text": "x", "id": "2"}\n')
     found = {r.id: r.body for r in resolve_fields(read_corpus(spark, str(tmp_path / "lines.jsonl"))).collect()}
