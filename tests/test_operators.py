@@ -168,6 +168,44 @@ def test_groups_of_copies_are_those_of_all_pairs(spark):
     assert rows(cluster.label_propagation_of_copies(of, near)) == rows(cluster.label_propagation(nodes.select("id"), edges))
 
 
+@pytest.mark.parametrize("numbers", [None, 250])  # one stripe of vectors, and three
+def test_vectors_are_compared_by_stripes(spark, monkeypatch, numbers):
+    monkeypatch.setattr(vectors, "STRIPE", numbers or vectors.STRIPE)
+    nodes, edges = few_vectors(spark)
+    v = {r.id: r.v for r in nodes.collect()}
+
+    def cos(a, b):
+        dot = lambda x, y: sum(p * q for p, q in zip(x, y))
+        return dot(v[a], v[b]) / ((dot(v[a], v[a]) * dot(v[b], v[b])) ** 0.5 + 1e-10)
+
+    every = sorted((a, b) for a in v for b in v if a < b and cos(a, b) >= 0.6)
+    assert rows(vectors.similar_pairs(nodes, 0.6).select("a", "b")) == every
+    new = vectors.new_pairs(vectors.similar_pairs(nodes, 0.6), edges)
+    for first in (1, None):
+        assert rows(vectors.augment_nearest(nodes, edges, 0.6, 3, first=first)) == rows(vectors.augment(new, 3))
+    assert rows(vectors.augment_similar(nodes, edges, 0.6, 3).select("a", "b")) == rows(vectors.augment_greedily(new, 3).select("a", "b"))
+    weighted = vectors.similar_pairs(nodes, 0.6).select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.col("sim").alias("weight"))
+    assert rows(cluster.label_propagation_of_vectors(vectors.copies(nodes), 0.6)) == rows(cluster.label_propagation(nodes.select("id"), weighted))
+    none = nodes.where("id < 0")
+    assert vectors.similar_pairs(none, 0.6).count() == vectors.augment_nearest(none, edges, 0.6, 3).count() == 0
+    assert cluster.label_propagation_of_vectors(vectors.copies(none), 0.6).count() == 0
+
+
+def test_stripes_shuffle_no_pairs(spark, tmp_path):
+    """1,200 similar vectors have 719,400 pairs; what the joins write is in proportion to the vectors."""
+    import random
+
+    rng = random.Random(4)
+    nodes = spark.createDataFrame([(i, [1.0, rng.random(), rng.random()]) for i in range(1200)], "id long, v array<double>")
+    edges = spark.createDataFrame([(0, 1)], "source_id long, target_id long")
+    tables = vectors.Tables(spark, "counted")
+    near = vectors.nearest_classes(nodes, nodes, 0.1, 5, tables, "near")
+    assert near.count() == 5 * 1200 and vectors.augment_nearest(nodes, edges, 0.1, 2).count() <= 2 * 1200
+    kept = vectors.votes_of_labels(nodes.select("id", "v", F.expr("array(struct(id % 3 AS community, 1L AS n)) AS labels")), 0.1, lambda votes: votes, tables, "votes")
+    assert kept.count() == 3 * 1200
+    assert "Exchange" not in vectors.distinct_pairs(nodes, 0.1)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_connected_components_of_a_long_path(spark):
     nodes = spark.range(60).select("id")
     edges = spark.range(40).select(F.col("id").alias("source_id"), (F.col("id") + 1).alias("target_id"))
