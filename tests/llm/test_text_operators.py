@@ -218,6 +218,34 @@ def test_a_passage_whose_seeds_have_other_extreme_documents(spark):
     assert {(r.doc_id, r.partner_id, r.from_word, r.to_word) for r in found} == {(5, 6, 30, 80), (6, 5, 30, 80)}
 
 
+def test_edited_passages_whose_every_seed_is_common_are_found(spark):
+    """Every piece of six words also stands in a lower and in a higher document, so that neither copy is an extreme one of any seed."""
+    rng = random.Random(21)
+    run = prose(rng, 60)
+    edited = [w + "x" if i % 12 == 11 else w for i, w in enumerate(run)]
+    texts = [prose(rng, 80) for _ in range(82)]
+    for i, part in ((40, run), (41, edited)):
+        texts[i] = texts[i][:30] + part + texts[i][30:]
+    for k in range(20):
+        for i, of in ((k, run), (k + 20, edited), (k + 42, run), (k + 62, edited)):
+            texts[i] = texts[i][:20] + of[3 * k : 3 * k + 6] + texts[i][20:]
+    found = {(r.doc_id, r.partner_id): r for r in passages(documents(spark, *[" ".join(t) for t in texts])).collect()}
+    assert set(found) == {(40, 41), (41, 40)}
+    assert all(r.from_word <= 31 and r.to_word >= 88 and r.matches >= 54 for r in found.values())
+
+
+def test_all_documents_of_a_seed_are_linked_part_by_part(spark, monkeypatch):
+    from lattice.llm import substring_dedup
+
+    rng = random.Random(22)
+    common = prose(rng, 40)
+    texts = [" ".join(prose(rng, 30) + common + prose(rng, 30)) for _ in range(7)]
+    want = {(d, r, 30, 70, 30, 70, 40) for d in range(7) for r in range(7) if d != r}
+    for part in (substring_dedup.PART, 300):  # one part, and several
+        monkeypatch.setattr(substring_dedup, "PART", part)
+        assert {tuple(r) for r in passages(documents(spark, *texts)).collect()} == want
+
+
 def test_links_of_seeds_are_those_of_whole_groups():
     import random
 
